@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, bounds: list[int], bits: int, window: int) ->
             for block in np.unique(of):
                 held.setdefault(int(block), []).append((h[of == block], c[of == block]))
             size += len(ok)
-            if size > 6_000_000:
+            if size > 2_500_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -254,7 +254,7 @@ def blocks_of(docs: DataFrame, bounds: list[int]) -> DataFrame:
             for block in np.unique(of):
                 held.setdefault(int(block), []).append(b.filter(pa.array(of == block)))
             size += b.nbytes
-            if size > 32 << 20:
+            if size > 12 << 20:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -262,7 +262,7 @@ def blocks_of(docs: DataFrame, bounds: list[int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block int, blob binary")
 
 
-def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes: int = 24 << 20, max_runs: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes: int = 10 << 20, max_runs: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each document without the words of windows that also start earlier.
 
     The documents go through the index in so many batches, as they would over days. An empty table gives an empty result.
