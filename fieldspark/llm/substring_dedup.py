@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import U, buffers, covered, inside, joined, pack, pack_rows, shared_dir, slices, unpack, unpack_rows, window_hashes, word_hashes, words
 
@@ -183,10 +184,10 @@ class FingerprintIndex:
         return df if df is not None else self.spark.createDataFrame([], OUT)
 
 
-def _resolve(window: int):
+def _resolve(window: int, schema: pa.Schema):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return RESULT_ROWS.empty_table()
+            return schema.empty_table()
         found = [unpack(x.as_py(), "u2") for x in hits.column("blob")]
         late, late_c = _unique(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else (np.zeros(0, U), np.zeros(0, np.uint16))
         rows = pa.concat_tables([unpack_rows(x.as_py()) for x in docs.column("blob")])
@@ -229,13 +230,13 @@ def _resolve(window: int):
             gone = covered(ok[d], window, len(s))
             n = np.diff(ptr)
             total = np.concatenate((np.zeros(1, np.int64), np.cumsum(gone)))
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total[ptr[1:]] - total[ptr[:-1]], pa.int64()), joined(data, s, e, ptr, ~gone)], schema=RESULT_ROWS))
-        return pa.Table.from_batches(out, RESULT_ROWS)
+            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total[ptr[1:]] - total[ptr[:-1]], pa.int64()), joined(data, s, e, ptr, ~gone), *(b.column(c) for c in schema.names[4:])], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
 
-def blocks_of(docs: DataFrame, bounds: list[int]) -> DataFrame:
+def blocks_of(docs: DataFrame, bounds: list[int], carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents by block, as compressed Arrow rows: a task's documents of a block are one value."""
     cuts = np.array(bounds, np.int64)
 
@@ -259,13 +260,13 @@ def blocks_of(docs: DataFrame, bounds: list[int]) -> DataFrame:
                 size = 0
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block int, blob binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).mapInArrow(run, "block int, blob binary")
 
 
-def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes: int = 10 << 20, max_runs: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes: int = 10 << 20, max_runs: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each document without the words of windows that also start earlier.
 
-    The documents go through the index in so many batches, as they would over days. An empty table gives an empty result.
+    carry: further columns of docs that the result keeps. The documents go through the index in so many batches, as they would over days. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounds, buckets, n = layout(docs, block_bytes, batches)
@@ -280,4 +281,7 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes
         if hi < n:
             part = part.where(F.col("doc_id") <= bounds[hi - 1])
         index.add(fingerprints(part, bounds, bits, window), keep=g < batches - 1)
-    return blocks_of(docs, bounds).groupBy("block").cogroup(index.found().groupBy("block")).applyInArrow(_resolve(window), RESULT)
+    extra = docs.select(*carry).schema
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
+    rows = pa.schema([*RESULT_ROWS, *to_arrow_schema(extra)])
+    return blocks_of(docs, bounds, carry).groupBy("block").cogroup(index.found().groupBy("block")).applyInArrow(_resolve(window, rows), RESULT + kinds)
