@@ -160,8 +160,6 @@ def score_steps(points: DataFrame, value: str = "v", order: str = "id") -> DataF
 def normal_score(points: DataFrame, value: str = "v", order: str = "id", hermite: int = 30) -> tuple[DataFrame, NormalScore]:
     """points with their normal score (ties by the order column), and the transform back."""
     steps = score_steps(points, value, order)
-    y = F.col("score")
-    density = F.exp(-y * y / 2) / float(np.sqrt(2 * np.pi))
 
     def sums(batch_iter):
         for b in batch_iter:
@@ -173,7 +171,6 @@ def normal_score(points: DataFrame, value: str = "v", order: str = "id", hermite
                 h0, h1 = h1, -yv * h1 / np.sqrt(p + 1) - h0 * np.sqrt(p / (p + 1))
             yield pa.RecordBatch.from_arrays([pa.array(range(1, hermite + 1), pa.int32()), pa.array(out)], names=["p", "c"])
 
-    del density
     rows = steps.select("score", "step").mapInArrow(sums, "p int, c double").groupBy("p").agg(F.sum("c").alias("c")).orderBy("p").collect()
     mean = points.agg(F.avg(value)).first()[0]
     return steps.drop("_rank", "step"), NormalScore((float(mean), *(float(r.c) for r in rows)))
