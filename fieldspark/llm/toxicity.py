@@ -30,7 +30,7 @@ SECOND_PERSON = frozenset("you your yours yourself you're u ur du dein deine dir
 #: Signs that stand for letters.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 EDGE = ".,!?;:\"'()[]{}|#$%&*<>-_/\\+=~`"
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 NEAR = 3
 FEATURES = 16
 
@@ -80,7 +80,7 @@ def learn(texts: list[str], labels: np.ndarray, least: int = 3) -> Lexicon:
         if c >= least:
             odds = np.log((c + 0.5) / (n1 + 1)) - np.log((seen[0].get(x, 0) + 0.5) / (n0 + 1))
             sure = c / n1 - 3 * np.sqrt(max(c, 1)) / n1
-            if odds > 2 and sure > seen[0].get(x, 0) / n0:
+            if odds > 1.2 and sure > seen[0].get(x, 0) / n0:
                 (stems if x[:1] == "^" else words)[x.lstrip("^")] = float(odds)
     return Lexicon(words, stems)
 
