@@ -4,7 +4,7 @@
 2. A set is posted under the (coordinate, value) pairs of its first PREFIX coordinates. A pair of sets with a similarity of 0.75
    or more shares none of them with a probability of 4e-9; the later coordinates are skipped when posting.
 3. Inside a posting list the collisions of whole signatures are counted, and a pair stays a candidate from `least` of them on (more
-   than four standard deviations below 0.75). Long lists are first cut by a further shared coordinate, so that sets which merely share
+   than four standard deviations below 0.75). Long lists are first cut by bands of further coordinates, so that sets which merely share
    a frequent passage don't meet in pairs; lists beyond `most_list` rows are posted anew under two coordinates each.
 4. Candidates come in rounds. First each set goes to one leader of its list, confirmed links merge into components, then only
    pairs between different components are tried: each set's best ones, and at last all that remain. So copies of one text never
@@ -27,7 +27,9 @@ from .common import U, buffers, mix, slices, window_hashes, word_hashes, words,
 from .components import components
 
 WORDS = 5
-COORDINATES, PREFIX = 128, 14
+COORDINATES, PREFIX, BAND = 128, 14, 3
+#: Coordinates that are compared first; pairs that agree in less than a third of them are let go (1e-7 at a similarity of 0.75).
+GLANCE = 32
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
 PRINTS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary"
 PRINT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
@@ -86,22 +88,21 @@ def matches(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (sig[a] == sig[b]).sum(1)
 
 
-def sublists(sig: np.ndarray, members: np.ndarray, short: int = 256, at: int = 0) -> Iterator[np.ndarray]:
-    """Parts of a list that share a further coordinate each, when it is long; every likely pair is in one of them at least."""
-    if len(members) <= short or at >= 3:
+def sublists(sig: np.ndarray, members: np.ndarray, seed: int, short: int = 256) -> Iterator[np.ndarray]:
+    """Parts of a long list that agree in BAND consecutive coordinates, for three of the 42 bands; which three goes by the list's
+    own coordinate. A pair with a similarity of 0.75 meets in some part of its lists but with a probability of 2e-6; sets that
+    merely share a frequent passage seldom meet."""
+    if len(members) <= short:
         yield members
         return
-    for c in range(at * PREFIX, (at + 1) * PREFIX):
-        v = sig[members, 16 + c]
+    for c in range(seed % PREFIX * BAND, COORDINATES - BAND + 1, PREFIX * BAND):
+        v = np.zeros(len(members), np.uint32)
+        for k in range(BAND):
+            v = (v << np.uint32(8)) | sig[members, c + k]
         order = np.argsort(v, kind="stable")
-        cut = np.flatnonzero(np.diff(v[order])) + 1
-        parts = np.split(members[order], cut)
-        if max(map(len, parts)) > 0.7 * len(members):  # the coordinate doesn't tell them apart: one group of near copies
-            yield members
-            return
-        for p in parts:
+        for p in np.split(members[order], np.flatnonzero(np.diff(v[order])) + 1):
             if len(p) > 1:
-                yield from sublists(sig, np.sort(p), short, at + 1)
+                yield p
 
 
 def leaders(sig: np.ndarray, members: np.ndarray, near: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,12 +130,18 @@ def across(sig: np.ndarray, comp: np.ndarray, members: np.ndarray, least: int, s
         a = small[at : at + step]
         for bt in range(0, len(members), 4096):
             b = members[bt : bt + 4096]
-            ok = np.zeros((len(a), len(b)), np.int16)
-            for k in range(COORDINATES):
-                ok += sig[a, k][:, None] == sig[b, k]
-            ok = (ok >= least) & (comp[a][:, None] != comp[b]) & ((rank[b] < 0)[None, :] | (rank[a][:, None] < rank[b]))
-            x, y = np.nonzero(ok)
-            yield a[x], b[y]
+            other = (comp[a][:, None] != comp[b]) & ((rank[b] < 0)[None, :] | (rank[a][:, None] < rank[b]))
+            if not other.any():
+                continue
+            p, q = np.ascontiguousarray(sig[a, :GLANCE].T), np.ascontiguousarray(sig[b, :GLANCE].T)
+            seen = np.zeros((len(a), len(b)), np.uint8)
+            for k in range(GLANCE):
+                seen += p[k][:, None] == q[k]
+            x, y = np.nonzero((seen >= GLANCE // 3) & other)
+            for k in range(0, len(x), 100_000):
+                u, v = a[x[k : k + 100_000]], b[y[k : k + 100_000]]
+                ok = matches(sig, u, v) >= least
+                yield u[ok], v[ok]
 
 
 def candidates(lists: DataFrame, buckets: int, kind: str, near: int, least: int, best: int) -> DataFrame:
@@ -147,10 +154,10 @@ def candidates(lists: DataFrame, buckets: int, kind: str, near: int, least: int,
         order = np.lexsort((ids, key))
         cut = np.flatnonzero(np.diff(key[order])) + 1
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for members in np.split(order, cut):
+        for members in np.split(order, cut) if len(order) else ():
             if len(members) < 2 or (kind == "across" and (comp[members] == comp[members[0]]).all()):
                 continue
-            for part in sublists(sig, members):
+            for part in sublists(sig, members, int(key[members[0]] >> 32)) if kind == "across" else [members]:
                 for a, b in leaders(sig, part, near) if kind == "leaders" else across(sig, comp, part, least):
                     found_a.append(a), found_b.append(b)
         a, b = np.concatenate(found_a), np.concatenate(found_b)

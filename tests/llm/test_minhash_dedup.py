@@ -76,5 +76,5 @@ def test_long_list_parts_keep_likely_pairs():
     r = np.random.default_rng(1)
     sig = r.integers(0, 256, (700, op.COORDINATES)).astype(np.uint8)
     sig[650, :110] = sig[3, :110]
-    found = {tuple(sorted((int(a), int(b)))) for p in op.sublists(sig, np.arange(700)) for x, y in op.across(sig, np.arange(700), p, 75) for a, b in zip(x, y)}
+    found = {tuple(sorted((int(a), int(b)))) for c in range(op.PREFIX) for p in op.sublists(sig, np.arange(700), c) for x, y in op.across(sig, np.arange(700), p, 75) for a, b in zip(x, y)}
     assert found == {(3, 650)}
