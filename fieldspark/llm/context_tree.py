@@ -33,6 +33,8 @@ from .substring_dedup import _ids, layout
 DEPTH = 6
 END = 10  # never inside a word
 END_WORD = U(0x5851F42D4C957F2D)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SENT = "kind string, shard int, block int, blob binary"
 SENT_ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
 STATE = "kind string, shard int, block int, blob binary, node long, n0 long, n1 long, s double"
@@ -61,17 +63,18 @@ def prepare(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.nda
     data, offs = buffers(texts)
     s, e, ptr = words(data, offs)
     text, to = buffers(joined(data, s, e, ptr, np.ones(len(s), bool)))
-    text = np.insert(text, np.repeat(to[1:], 1), END)
-    text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint8)
+    n = np.diff(to)
+    # depth ends before each text, and its own end behind it
+    wide = np.full(len(text) + (depth + 1) * len(n), END, np.uint8)
+    at = np.arange(len(text)) + np.repeat((depth + 1) * np.arange(len(n)) + depth, n)
+    wide[at] = LOWER[text]
+    place = np.insert(at, to[1:], (to[1:] + (depth + 1) * np.arange(1, len(n) + 1) - 1))
     to = to + np.arange(len(to))
-    n = len(text)
-    place = np.arange(n) - np.repeat(to[:-1], np.diff(to))
-    key = text.astype(U)
+    x = wide.astype(U)
+    key = x.copy()
     for j in range(1, depth + 1):
-        c = np.full(n, END, U)
-        c[j:] = text[:-j] if j < n or n > j else 0
-        c[place < j] = END
-        key |= c << U(8 * (depth + 1 - j))
+        key[j:] |= x[:-j] << U(8 * (depth + 1 - j))
+    key = key[place]
     h = np.insert(word_hashes(data, s, e, lower=True), ptr[1:], END_WORD)
     return key, to, h, ptr + np.arange(len(ptr))
 
@@ -85,6 +88,25 @@ def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _sum_marked(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _sum() for keys below 2**63 that count once or not: the mark rides in the lowest bit, so that the keys are sorted in place."""
+    x = (keys << U(1)) | train
+    x.sort()
+    if not len(x):
+        return x, np.zeros(0, np.uint32)
+    keys = x >> U(1)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat((x & U(1)).astype(np.uint32), first)
+
+
+def _look(keys: np.ndarray, values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The values of keys that are all there; queries go in sorted order, which spares the caches."""
+    order = np.argsort(query)
+    out = np.empty(len(query), values.dtype)
+    out[order] = values[np.searchsorted(keys, query[order])]
+    return out
+
+
 def _shard(kind: str, keys: np.ndarray, bits: int, depth: int) -> np.ndarray:
     top = keys >> U(8 * (depth - 1)) if kind == "gram" else keys
     return (mix(top) >> U(64 - bits)).astype(np.int64)
@@ -121,7 +143,9 @@ def gather(docs: DataFrame, bounds: list[int], bits: int, depth: int) -> DataFra
                 for kind, k, ptr in (("gram", key, to), ("word", h, at)):
                     n = np.diff(ptr)
                     mine = np.repeat(of == block, n)
-                    part = _sum(k[mine], np.repeat(train, n)[mine].astype(np.uint32))
+                    seen = np.repeat(train, n)
+                    k, seen = (k, seen) if mine.all() else (k[mine], seen[mine])
+                    part = _sum_marked(k, seen) if kind == "gram" else _sum(k, seen.astype(np.uint32))
                     held.setdefault((kind, int(block)), []).append(part)
                     size += len(part[0])
             if size > 3_000_000:
@@ -251,9 +275,9 @@ def _score(depth: int):
             for b in slices(unpack_rows(blob.as_py()).to_batches()):
                 key, to, h, at = prepare(b.column("text"), depth)
                 k, v = tables["gram"]
-                logp = np.concatenate((np.zeros(1), np.cumsum(v[np.searchsorted(k, key)].astype(np.float64))))
+                logp = np.concatenate((np.zeros(1), np.cumsum(_look(k, v, key).astype(np.float64))))
                 k, v = tables["word"]
-                c = v[np.searchsorted(k, h)]
+                c = _look(k, v, h)
                 per = lambda x, p: np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))[p])
                 out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("train"), pa.array(np.diff(at), pa.int64()), pa.array(per((c > 0).astype(np.int64), at), pa.int64()), pa.array(per(np.log10(c + 1.0), at), pa.float64()), pa.array(np.diff(logp[to]) / np.log(10), pa.float64()), pa.array(np.diff(to), pa.int64())], schema=RESULT_ROWS))
         return pa.Table.from_batches(out, RESULT_ROWS)
