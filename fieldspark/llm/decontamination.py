@@ -5,7 +5,10 @@ names (capitalised words inside a sentence) give way to typed placeholders; what
 `window` template words (shorter items: the item's length, `least` at least) are hash-joined with those of the benchmark. A pair
 (document, item) is a leak when at least `share` of the item's distinct windows occur in the document and the slots agree: each
 slot value of the item stands, across the windows, for one value in the document (`consistency`, the share of such pairs). So an
-exact copy and a re-parameterised question are both found, and text that only shares the shape of a sentence is not.
+exact copy and a re-parameterised question are both found, and text that only shares the shape of a sentence is not. A document may
+hold several variants of an item, which disagree with each other: where the document as a whole isn't a leak, each occurrence (the hits
+at one offset between document and item, or at offsets closer than occurrences can follow each other) is judged alone, and the best
+one is reported. ORACLE_SQL has the rule for the whole document only; every row of it is in the result with the same figures.
 
 The benchmark's windows are broadcast when they number at most `most_broadcast`; else the join shuffles by window hash.
 Nulls: a null text or item has no words and takes no part, nor do items shorter than `least`. Rows with a null doc_id or item_id
@@ -83,29 +86,63 @@ def windows(df: DataFrame, key: str, n: int, only: list[int] | None = None) -> D
     return df.select(key, F.lit(n).alias("n"), F.explode(each).alias("w")).select(key, "n", "w.at", "w.hash", "w.slots")
 
 
+def _identified(df: DataFrame, key: str, name: str) -> DataFrame:
+    """text and, as one column, its key and fingerprint: rows that share a key keep places of their own."""
+    return df.where("text is not null").select(F.struct(key, F.xxhash64(F.col("text").cast("string")).alias("print")).alias(name), "text")
+
+
+def _together(places: Column) -> Column:
+    """The windows and pairs of all the places."""
+    seen, pairs = (F.transform(places, lambda p: p["seen"]), F.transform(places, lambda p: p["pairs"]))
+    return F.struct(F.array_distinct(F.flatten(seen)).alias("seen"), F.array_distinct(F.flatten(pairs)).alias("pairs"))
+
+
+def _figures(p: Column) -> Column:
+    n_slots = F.size(F.array_distinct(F.transform(p["pairs"], lambda z: z["theirs"]))).cast("long")
+    agreed = F.when(F.size(p["pairs"]) > 0, n_slots / F.size(p["pairs"])).otherwise(1.0)
+    return F.struct(F.size(p["seen"]).cast("long").alias("n_matched"), agreed.alias("consistency"), n_slots.alias("n_slots"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, share: float = 0.5, consistency: float = 0.75, most_broadcast: int = 1_000_000, most_listed: int = 50_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, share, n_slots, consistency: one row for each leak."""
-    items = templates(benchmark.where("text is not null"), "item_id")
-    by_length = [windows(items.where(F.size("words") == n if n < window else F.size("words") >= n), "item_id", n) for n in range(least, window + 1)]
+    items = templates(_identified(benchmark, "item_id", "item"), "item")
+    by_length = [windows(items.where(F.size("words") == n if n < window else F.size("words") >= n), "item", n) for n in range(least, window + 1)]
     items = reduce(DataFrame.unionByName, by_length)
     items = written(items, docs.sparkSession, "items")
     lengths, rows = [r.n for r in items.select("n").distinct().collect()], items.count()
-    told = items.groupBy("item_id").agg(F.countDistinct("n", "hash").alias("n_windows"))
-    keyed = items.groupBy("n", "hash").agg(F.collect_set(F.struct("item_id", "slots")).alias("items"))
-    t = templates(docs.where("text is not null"), "doc_id")
+    told = items.groupBy("item.item_id").agg(F.countDistinct("n", "hash").alias("n_windows"))
+    keyed = items.groupBy("n", "hash").agg(F.collect_set(F.struct("item", "at", "slots")).alias("items"))
+    t = templates(_identified(docs, "doc_id", "doc"), "doc")
     small = rows <= most_broadcast
     listed = {}  # a hash set inside the expression drops most windows before they become rows
     if rows <= most_listed:
         for r in items.select("n", "hash").distinct().collect():
             listed.setdefault(r.n, []).append(r.hash)
-    mine = reduce(DataFrame.unionByName, [windows(t, "doc_id", n, listed.get(n)) for n in sorted(lengths) or [window]])
-    hit = mine.select("doc_id", "n", "hash", F.col("slots").alias("own")).join(F.broadcast(keyed) if small else keyed, ["n", "hash"])
-    hit = hit.select("doc_id", "n", "hash", "own", F.explode("items").alias("i")).select("doc_id", F.col("i.item_id").alias("item_id"), F.struct("n", "hash").alias("window"), F.arrays_zip(F.col("i.slots").alias("theirs"), "own").alias("pairs"))
-    found = hit.groupBy("doc_id", "item_id").agg(F.collect_set("window").alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    found = found.select("doc_id", "item_id", F.size("seen").cast("long").alias("n_matched"), F.size("pairs").alias("n_pairs"), F.size(F.array_distinct(F.transform("pairs", lambda z: z["theirs"]))).cast("long").alias("n_slots"))
-    out = found.alias("a").join((F.broadcast(told) if small else told).alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id")))
-    out = out.select("a.doc_id", "a.item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"), "n_slots", F.when(F.col("n_pairs") > 0, F.col("n_slots") / F.col("n_pairs")).otherwise(1.0).alias("consistency"))
-    return out.where((F.col("share") >= share) & (F.col("consistency") >= consistency))
+    mine = reduce(DataFrame.unionByName, [windows(t, "doc", n, listed.get(n)) for n in sorted(lengths) or [window]])
+    hit = mine.select("doc", "n", "hash", "at", F.col("slots").alias("own")).join(F.broadcast(keyed) if small else keyed, ["n", "hash"])
+    hit = hit.select("doc", "n", "hash", "at", "own", F.explode("items").alias("i")).select(
+        "doc", "i.item", (F.col("at") - F.col("i.at")).alias("off"), F.struct("n", "hash").alias("window"), F.arrays_zip(F.col("i.slots").alias("theirs"), "own").alias("pairs")
+    )
+    found = hit.groupBy("doc", "item", "off").agg(F.collect_set("window").alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    found = found.groupBy("doc.doc_id", "item.item_id").agg(F.collect_list(F.struct(F.struct("doc.print", F.col("item.print").alias("of")).alias("texts"), "off", "seen", "pairs")).alias("places"))
+    out = found.alias("a").join((F.broadcast(told) if small else told).alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id"))).select("a.doc_id", "a.item_id", "n_windows", "places")
+    keys = ["doc_id", "item_id", "n_windows"]
+    out = settled(out, [*keys, "places"], whole=_together(F.col("places")))
+    out = out.where(F.size("whole.seen") / F.col("n_windows") >= share)
+    out = settled(out, [*keys, "places"], whole=_figures(F.col("whole")))
+
+    def leak(f: Column) -> Column:
+        return (f["n_matched"] / F.col("n_windows") >= share) & (f["consistency"] >= consistency)
+
+    def near(p: Column) -> Column:
+        """The hits of one occurrence that begins at p: words put in or left out move the offset."""
+        return F.filter("places", lambda q: (q["texts"] == p["texts"]) & (q["off"] >= p["off"]) & (q["off"] < p["off"] + F.col("n_windows") * share))
+
+    each = F.concat(F.transform("places", lambda p: _figures(p)), F.transform("places", lambda p: _figures(_together(near(p)))))
+    best = F.when(leak(F.col("whole")), F.col("whole")).otherwise(F.array_max(F.filter(each, leak)))
+    out = settled(out, keys, best=best).where("best is not null")
+    return out.select("doc_id", "item_id", "n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("share"), "best.n_slots", "best.consistency")
+
 
 
 _WORDS = """

@@ -40,3 +40,23 @@ def test_empty(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert op.leaks(docs.where("false"), items).collect() == [] and op.leaks(docs, items.where("false")).collect() == []
+
+
+def found(spark, texts, items=ITEMS):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return {r[:2]: tuple(r[2:]) for r in map(tuple, op.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())}
+
+
+def test_several_occurrences_in_one_document(spark):
+    copy = ITEMS[0][1]
+    one = "a train leaves Paris at 7:15 and travels 80 km to reach Rome in 2 hours how fast is it"
+    two = "a train leaves Oslo at 6:40 and travels 95 km to reach Bergen in 4 hours how fast is it"
+    longer = two.replace("and travels", "and then travels")
+    mixed = "we saw a train leaves Oslo at 6:40 and travels 95 km to reach home, later Rome at 7:15 and travels 80 km to reach Turin in 2 days"
+    texts = [f"Intro. {copy}. Also: {one}", f"List: {one}. {two}", f"List: {one}. {longer}. {two}", " ".join([one, two] * 40), mixed]
+    got = found(spark, texts)
+    assert set(got) == {(k, 0) for k in range(4)}
+    assert all(r[2] == 1.0 and r[4] == 1.0 for r in got.values())
+    # an occurrence with a word more than the item has is one, also beside others
+    short = "a train leaves Rome at 8:20 and travels 70 km"
+    assert (0, 0) in found(spark, [f"List: {short}. {short.replace('Rome', 'Bari')}. {longer}"])
