@@ -8,7 +8,9 @@ slot value of the item stands, across the windows, for one value in the document
 exact copy and a re-parameterised question are both found, and text that only shares the shape of a sentence is not. A document may
 hold several variants of an item, which disagree with each other: where the document as a whole isn't a leak, each occurrence (the hits
 at one offset between document and item, or at offsets closer than occurrences can follow each other) is judged alone, and the best
-one is reported. ORACLE_SQL has the rule for the whole document only; every row of it is in the result with the same figures.
+one is reported. Whether a word counts as a name or unit depends on the word before it, which a copy needn't share; so a window of an
+item whose first word can be of another kind is also posted under that kind, and then matches the very same first word only.
+ORACLE_SQL has neither of the two; every row of it is in the result with the same figures, and the others come on top.
 
 The benchmark's windows are broadcast when they number at most `most_broadcast`; else the join shuffles by window hash.
 Nulls: a null text or item has no words and takes no part, nor do items shorter than `least`. Rows with a null doc_id or item_id
@@ -40,25 +42,30 @@ def settled(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
     return made.select(*keys, *(F.col(f"_.{k}").alias(k) for k in columns))
 
 
-def templates(df: DataFrame, key: str) -> DataFrame:
-    """key, words (template), slots (what a placeholder stands for, else null)."""
+def templates(df: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """key, words (template), slots (what a placeholder stands for, else null); with others, the forms a word can have behind other words."""
     raw = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES), lambda w: w != "")
     df = settled(df, [key], raw=raw)
     df = settled(df, [key, "raw"], bare=F.transform("raw", lambda w: F.btrim(w, F.lit(OUTER))))
     df = settled(df, [key, "raw", "bare"], core=F.transform("bare", lambda w: F.lower(w)))
 
-    def word(w: Column, i: Column) -> Column:
+    def word(w: Column, i: Column, forms: bool = False) -> Column:
         bare = F.get("bare", i)
         digit = F.ascii(w).between(48, 57)
         named = (bare != w) & (F.lower(F.substring(bare, 1, 1)) != F.substring(bare, 1, 1)) & (F.upper(F.substring(bare, 2, 1)) != F.substring(bare, 2, 1))
+        if forms:
+            return F.when(~(digit & (w.rlike(NUMBER) | w.rlike(MEASURE))), F.array_compact(F.array(w, F.when(w.isin(UNITS), "<unit>"), F.when(named, "<name>"))))
         return (
             F.when(digit & w.rlike(NUMBER), "<num>").when(digit & w.rlike(MEASURE), "<measure>")
             .when(w.isin(UNITS) & (i > 0) & F.get("core", i - 1).rlike(NUMBER), "<unit>")
             .when(named & (i > 0) & ~F.substring(F.get("raw", i - 1), -1, 1).isin(*STOPS), "<name>").otherwise(w)
         )
 
-    df = settled(df, [key, "core"], words=F.transform("core", word))
-    return settled(df, [key, "words"], slots=F.transform("words", lambda w, i: F.when(w.startswith("<"), F.get("core", i))))
+    kept = [key]
+    if others:
+        df, kept = settled(df, [key, "raw", "bare", "core"], others=F.transform("core", lambda w, i: word(w, i, True))), [key, "others"]
+    df = settled(df, [*kept, "core"], words=F.transform("core", lambda w, i: word(w, i)))
+    return settled(df, [*kept, "words"], slots=F.transform("words", lambda w, i: F.when(w.startswith("<"), F.get("core", i))))
 
 
 def _with_later(span: int):
@@ -86,14 +93,34 @@ def windows(df: DataFrame, key: str, n: int, only: list[int] | None = None) -> D
     return df.select(key, F.lit(n).alias("n"), F.explode(each).alias("w")).select(key, "n", "w.at", "w.hash", "w.slots")
 
 
+def _hash(words: list[Column]) -> Column:
+    """Of one window, as windows() has it."""
+    n, prints = len(words), [F.xxhash64(w) for w in words]
+    while len(prints) > 1 and len(prints) % 2 == 0:
+        prints = [F.xxhash64(a, b) for a, b in zip(prints[::2], prints[1::2], strict=True)]
+    return F.xxhash64(*prints, F.lit(n))
+
+
+def openings(df: DataFrame, key: str, n: int) -> DataFrame:
+    """As windows(): those whose first word is a name, a unit or plain only because of what stands before it, in each other form. The
+    first word is no slot here; where the form is a placeholder, it must be the same word (first). base: the hash in the item's own form."""
+    df = df.where(F.size("words") >= n).select(key, "words", "slots", "others", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("at"))
+    own = F.get("words", F.col("at"))
+    df = settled(df, [key, "words", "slots", "at"], own=own, core=F.coalesce(F.get("slots", F.col("at")), own), forms=F.array_remove(F.get("others", F.col("at")), own))
+    df = df.select(key, "words", "slots", "at", "own", "core", F.explode("forms").alias("form"))
+    rest = [F.get("words", F.col("at") + k) for k in range(1, n)]
+    slots = F.array_compact(F.array(*(F.get("slots", F.col("at") + k) for k in range(1, n))))
+    return df.select(key, F.lit(n).alias("n"), "at", _hash([F.col("form"), *rest]).alias("hash"), slots.alias("slots"), F.when(F.col("form").startswith("<"), F.col("core")).alias("first"), _hash([F.col("own"), *rest]).alias("base"))
+
+
 def _identified(df: DataFrame, key: str, name: str) -> DataFrame:
     """text and, as one column, its key and fingerprint: rows that share a key keep places of their own."""
     return df.where("text is not null").select(F.struct(key, F.xxhash64(F.col("text").cast("string")).alias("print")).alias(name), "text")
 
 
-def _together(places: Column) -> Column:
+def _together(places: Column, prefix: str = "") -> Column:
     """The windows and pairs of all the places."""
-    seen, pairs = (F.transform(places, lambda p: p["seen"]), F.transform(places, lambda p: p["pairs"]))
+    seen, pairs = (F.transform(places, lambda p: p[f"{prefix}seen"]), F.transform(places, lambda p: p[f"{prefix}pairs"]))
     return F.struct(F.array_distinct(F.flatten(seen)).alias("seen"), F.array_distinct(F.flatten(pairs)).alias("pairs"))
 
 
@@ -105,13 +132,14 @@ def _figures(p: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, share: float = 0.5, consistency: float = 0.75, most_broadcast: int = 1_000_000, most_listed: int = 50_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, share, n_slots, consistency: one row for each leak."""
-    items = templates(_identified(benchmark, "item_id", "item"), "item")
-    by_length = [windows(items.where(F.size("words") == n if n < window else F.size("words") >= n), "item", n) for n in range(least, window + 1)]
-    items = reduce(DataFrame.unionByName, by_length)
+    items = templates(_identified(benchmark, "item_id", "item"), "item", others=True)
+    by_length = [(items.where(F.size("words") == n if n < window else F.size("words") >= n), n) for n in range(least, window + 1)]
+    plain = [windows(t, "item", n).select("*", F.lit(None).cast("string").alias("first"), F.col("hash").alias("base")) for t, n in by_length]
+    items = reduce(DataFrame.unionByName, [*plain, *(openings(t, "item", n) for t, n in by_length)])
     items = written(items, docs.sparkSession, "items")
     lengths, rows = [r.n for r in items.select("n").distinct().collect()], items.count()
-    told = items.groupBy("item.item_id").agg(F.countDistinct("n", "hash").alias("n_windows"))
-    keyed = items.groupBy("n", "hash").agg(F.collect_set(F.struct("item", "at", "slots")).alias("items"))
+    told = items.where("hash = base").groupBy("item.item_id").agg(F.countDistinct("n", "hash").alias("n_windows"))
+    keyed = items.groupBy("n", "hash").agg(F.collect_set(F.struct("item", "at", "slots", "first", "base")).alias("items"))
     t = templates(_identified(docs, "doc_id", "doc"), "doc")
     small = rows <= most_broadcast
     listed = {}  # a hash set inside the expression drops most windows before they become rows
@@ -120,16 +148,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
             listed.setdefault(r.n, []).append(r.hash)
     mine = reduce(DataFrame.unionByName, [windows(t, "doc", n, listed.get(n)) for n in sorted(lengths) or [window]])
     hit = mine.select("doc", "n", "hash", "at", F.col("slots").alias("own")).join(F.broadcast(keyed) if small else keyed, ["n", "hash"])
-    hit = hit.select("doc", "n", "hash", "at", "own", F.explode("items").alias("i")).select(
-        "doc", "i.item", (F.col("at") - F.col("i.at")).alias("off"), F.struct("n", "hash").alias("window"), F.arrays_zip(F.col("i.slots").alias("theirs"), "own").alias("pairs")
-    )
-    found = hit.groupBy("doc", "item", "off").agg(F.collect_set("window").alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    found = found.groupBy("doc.doc_id", "item.item_id").agg(F.collect_list(F.struct(F.struct("doc.print", F.col("item.print").alias("of")).alias("texts"), "off", "seen", "pairs")).alias("places"))
+    hit = hit.select("doc", "hash", "at", "own", F.explode("items").alias("i")).where("i.first is null or own[0] = i.first")
+    own = F.when(F.col("i.first").isNull(), F.col("own")).otherwise(F.slice("own", 2, window))
+    hit = hit.select("doc", "i.item", (F.col("at") - F.col("i.at")).alias("off"), F.col("i.base").alias("window"), (F.col("hash") == F.col("i.base")).alias("plain"), "i.slots", own.alias("own"))
+    hit = hit.withColumn("pairs", F.arrays_zip(F.col("slots").alias("theirs"), "own"))
+
+    def gathered(prefix: str, which: Column) -> list[Column]:
+        return [F.collect_set(F.when(which, F.col("window"))).alias(f"{prefix}seen"), F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col("pairs"))))).alias(f"{prefix}pairs")]
+
+    found = hit.groupBy("doc", "item", "off").agg(*gathered("", F.lit(True)), *gathered("plain_", F.col("plain")))
+    texts = F.struct("doc.print", F.col("item.print").alias("of")).alias("texts")
+    found = found.groupBy("doc.doc_id", "item.item_id").agg(F.collect_list(F.struct(texts, "off", "seen", "pairs", "plain_seen", "plain_pairs")).alias("places"))
     out = found.alias("a").join((F.broadcast(told) if small else told).alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id"))).select("a.doc_id", "a.item_id", "n_windows", "places")
     keys = ["doc_id", "item_id", "n_windows"]
-    out = settled(out, [*keys, "places"], whole=_together(F.col("places")))
+    out = settled(out, [*keys, "places"], plain=_together(F.col("places"), "plain_"), whole=_together(F.col("places")))
     out = out.where(F.size("whole.seen") / F.col("n_windows") >= share)
-    out = settled(out, [*keys, "places"], whole=_figures(F.col("whole")))
+    out = settled(out, [*keys, "places"], plain=_figures(F.col("plain")), whole=_figures(F.col("whole")))
 
     def leak(f: Column) -> Column:
         return (f["n_matched"] / F.col("n_windows") >= share) & (f["consistency"] >= consistency)
@@ -138,8 +172,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
         """The hits of one occurrence that begins at p: words put in or left out move the offset."""
         return F.filter("places", lambda q: (q["texts"] == p["texts"]) & (q["off"] >= p["off"]) & (q["off"] < p["off"] + F.col("n_windows") * share))
 
-    each = F.concat(F.transform("places", lambda p: _figures(p)), F.transform("places", lambda p: _figures(_together(near(p)))))
-    best = F.when(leak(F.col("whole")), F.col("whole")).otherwise(F.array_max(F.filter(each, leak)))
+    each = F.concat(F.array("whole"), F.transform("places", lambda p: _figures(p)), F.transform("places", lambda p: _figures(_together(near(p)))))
+    best = F.when(leak(F.col("plain")), F.col("plain")).otherwise(F.array_max(F.filter(each, leak)))
     out = settled(out, keys, best=best).where("best is not null")
     return out.select("doc_id", "item_id", "n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("share"), "best.n_slots", "best.consistency")
 

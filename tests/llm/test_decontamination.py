@@ -60,3 +60,15 @@ def test_several_occurrences_in_one_document(spark):
     # an occurrence with a word more than the item has is one, also beside others
     short = "a train leaves Rome at 8:20 and travels 70 km"
     assert (0, 0) in found(spark, [f"List: {short}. {short.replace('Rome', 'Bari')}. {longer}"])
+
+
+def test_copies_behind_any_word(spark):
+    items = [(0, "What is the capital of France?"), (1, "Days pass while only patience can help"), (2, "boston is where we all met"), (3, "Hours later they came with 5 km behind")]
+    texts = [
+        "Question 12\nWhat is the capital of France?", "Heading, What is the capital of France?", 'He said: "yes." What is the capital of France?', "End. What is the capital of France?",
+        "Question 12\nDays pass while only patience can help", "Label\nDays pass while only patience can help", "so it was hours later they came with 7 km behind",
+        "We know Paris is the capital of France", "We know 12 hours pass while only patience can help",
+    ]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 3)}
+    assert all(r[:3] == (1, 1, 1.0) for r in got.values())
