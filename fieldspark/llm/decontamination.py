@@ -10,7 +10,11 @@ hold several variants of an item, which disagree with each other: where the docu
 at one offset between document and item, or at offsets closer than occurrences can follow each other) is judged alone, and the best
 one is reported. Whether a word counts as a name or unit depends on the word before it, which a copy needn't share; so a window of an
 item whose first word can be of another kind is also posted under that kind, and then matches the very same first word only.
-ORACLE_SQL has neither of the two; every row of it is in the result with the same figures, and the others come on top.
+
+Whatever the share and the slots, `run` words of an item in a row that stand in the document word for word are a leak as well; the figures
+are then those of that occurrence, so its share can lie below `share`.
+
+ORACLE_SQL has none of these three; every row of it is in the result with the same figures, and the others come on top.
 
 The benchmark's windows are broadcast when they number at most `most_broadcast`; else the join shuffles by window hash.
 Nulls: a null text or item has no words and takes no part, nor do items shorter than `least`. Rows with a null doc_id or item_id
@@ -130,8 +134,8 @@ def _figures(p: Column) -> Column:
     return F.struct(F.size(p["seen"]).cast("long").alias("n_matched"), agreed.alias("consistency"), n_slots.alias("n_slots"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, share: float = 0.5, consistency: float = 0.75, most_broadcast: int = 1_000_000, most_listed: int = 50_000) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, share, n_slots, consistency: one row for each leak."""
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, share: float = 0.5, consistency: float = 0.75, most_broadcast: int = 1_000_000, most_listed: int = 50_000, run: int = 13) -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, share, n_slots, consistency: one row for each leak. run: words in a row that are one by themselves."""
     items = templates(_identified(benchmark, "item_id", "item"), "item", others=True)
     by_length = [(items.where(F.size("words") == n if n < window else F.size("words") >= n), n) for n in range(least, window + 1)]
     plain = [windows(t, "item", n).select("*", F.lit(None).cast("string").alias("first"), F.col("hash").alias("base")) for t, n in by_length]
@@ -150,19 +154,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
     hit = mine.select("doc", "n", "hash", "at", F.col("slots").alias("own")).join(F.broadcast(keyed) if small else keyed, ["n", "hash"])
     hit = hit.select("doc", "hash", "at", "own", F.explode("items").alias("i")).where("i.first is null or own[0] = i.first")
     own = F.when(F.col("i.first").isNull(), F.col("own")).otherwise(F.slice("own", 2, window))
-    hit = hit.select("doc", "i.item", (F.col("at") - F.col("i.at")).alias("off"), F.col("i.base").alias("window"), (F.col("hash") == F.col("i.base")).alias("plain"), "i.slots", own.alias("own"))
-    hit = hit.withColumn("pairs", F.arrays_zip(F.col("slots").alias("theirs"), "own"))
+    hit = hit.select("doc", "i.item", (F.col("at") - F.col("i.at")).alias("off"), F.col("i.at").alias("from"), F.col("i.base").alias("window"), (F.col("hash") == F.col("i.base")).alias("plain"), "i.slots", own.alias("own"))
+    hit = hit.withColumn("pairs", F.arrays_zip(F.col("slots").alias("theirs"), "own")).withColumn("literal", F.when(F.col("slots") == F.col("own"), F.col("from")))
 
     def gathered(prefix: str, which: Column) -> list[Column]:
         return [F.collect_set(F.when(which, F.col("window"))).alias(f"{prefix}seen"), F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col("pairs"))))).alias(f"{prefix}pairs")]
 
-    found = hit.groupBy("doc", "item", "off").agg(*gathered("", F.lit(True)), *gathered("plain_", F.col("plain")))
+    found = hit.groupBy("doc", "item", "off").agg(*gathered("", F.lit(True)), *gathered("plain_", F.col("plain")), F.sort_array(F.collect_set("literal")).alias("literal"))
+    more = max(run - window, 0)  # so many windows after the first one; an item of less than window words has only one
+    ran = F.exists(F.transform("literal", lambda a, k: F.get("literal", k + more) - a), lambda gap: gap == more)
+    found = found.withColumn("ran", F.coalesce(ran, F.lit(False)))
     texts = F.struct("doc.print", F.col("item.print").alias("of")).alias("texts")
-    found = found.groupBy("doc.doc_id", "item.item_id").agg(F.collect_list(F.struct(texts, "off", "seen", "pairs", "plain_seen", "plain_pairs")).alias("places"))
+    found = found.groupBy("doc.doc_id", "item.item_id").agg(F.collect_list(F.struct(texts, "off", "seen", "pairs", "plain_seen", "plain_pairs", "ran")).alias("places"))
     out = found.alias("a").join((F.broadcast(told) if small else told).alias("b"), F.col("a.item_id").eqNullSafe(F.col("b.item_id"))).select("a.doc_id", "a.item_id", "n_windows", "places")
     keys = ["doc_id", "item_id", "n_windows"]
     out = settled(out, [*keys, "places"], plain=_together(F.col("places"), "plain_"), whole=_together(F.col("places")))
-    out = out.where(F.size("whole.seen") / F.col("n_windows") >= share)
+    out = out.where((F.size("whole.seen") / F.col("n_windows") >= share) | F.exists("places", lambda p: p["ran"]))
     out = settled(out, [*keys, "places"], plain=_figures(F.col("plain")), whole=_figures(F.col("whole")))
 
     def leak(f: Column) -> Column:
@@ -173,7 +180,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
         return F.filter("places", lambda q: (q["texts"] == p["texts"]) & (q["off"] >= p["off"]) & (q["off"] < p["off"] + F.col("n_windows") * share))
 
     each = F.concat(F.array("whole"), F.transform("places", lambda p: _figures(p)), F.transform("places", lambda p: _figures(_together(near(p)))))
-    best = F.when(leak(F.col("plain")), F.col("plain")).otherwise(F.array_max(F.filter(each, leak)))
+    best = F.when(leak(F.col("plain")), F.col("plain")).otherwise(F.coalesce(F.array_max(F.filter(each, leak)), F.array_max(F.transform(F.filter("places", lambda p: p["ran"]), _figures))))
     out = settled(out, keys, best=best).where("best is not null")
     return out.select("doc_id", "item_id", "n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("share"), "best.n_slots", "best.consistency")
 

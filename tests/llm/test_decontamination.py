@@ -72,3 +72,17 @@ def test_copies_behind_any_word(spark):
     got = found(spark, texts, items)
     assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 3)}
     assert all(r[:3] == (1, 1, 1.0) for r in got.values())
+
+
+def test_long_verbatim_runs(spark):
+    words = [f"w{k}x" for k in range(59)]
+    named = "We met Anna in Rome before Karl left for Oslo with 12 friends and nobody else came along that cold winter evening although we had asked them all so kindly"
+    items = [(0, " ".join(words)), (1, named)]
+    part = " ".join(named.split()[2:15])
+    texts = [
+        "see " + " ".join(words[20:45]) + " there", "see " + " ".join(words[20:33]) + " there", "see " + " ".join(words[20:32]) + " there", "see " + " ".join(words[:12]) + " and " + " ".join(words[12:24]),
+        f"so {part} too", "so " + part.replace("Rome", "Bari") + " too", "so " + " ".join(named.split()[2:14]) + " too",
+    ]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 0), (4, 1)}
+    assert got[0, 0] == (52, 18, 18 / 52, 0, 1.0) and got[1, 0] == (52, 6, 6 / 52, 0, 1.0)
