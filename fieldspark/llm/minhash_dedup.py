@@ -215,14 +215,14 @@ def near_duplicates(docs: DataFrame, near: int = 90, least: int = 75, most_list:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(prints(docs), spark, "prints")
     full = own.where("n_shingles > 0 and doc_id is not null")
-    sets = written(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("set_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), spark, "sets")
+    repeated = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    # rows may share a doc_id, which then can't stand for one set
+    set_id = F.xxhash64("n_shingles", "d1", "d2") if repeated else F.col("low")
+    sets = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    sets = written(sets.withColumn("set_id", set_id), spark, "sets")
     lists = written(posted(sets, most_list).join(sets.select("set_id", "sig"), "set_id"), spark, "lists")
     buckets = max(16, lists.count() // 20_000)
-    # rows may share a doc_id; the text of a set is one whose set it is
-    texts = docs.withColumnRenamed("doc_id", "set_id")
-    repeated = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    if repeated:
-        texts = _texts_of_sets(docs, sets)
+    texts = _texts_of_sets(docs, sets) if repeated else docs.withColumnRenamed("doc_id", "set_id")
     links = tested = comp = None
     for kind, best in rounds:
         now = lists.withColumn("component", F.col("set_id")) if comp is None else lists.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -239,23 +239,29 @@ def near_duplicates(docs: DataFrame, near: int = 90, least: int = 75, most_list:
             continue
         links = new if links is None else links.unionByName(new)
         comp = components(links)
-    named = sets.select("n_shingles", "d1", "d2", "set_id")
+    named = sets.select("n_shingles", "d1", "d2", "set_id", "low")
     if comp is not None:
-        named = named.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "set_id").alias("component"))
+        named = named.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").select("n_shingles", "d1", "d2", "low", F.coalesce("component", "set_id").alias("component"))
     else:
-        named = named.select("n_shingles", "d1", "d2", F.col("set_id").alias("component"))
+        named = named.select("n_shingles", "d1", "d2", "low", F.col("set_id").alias("component"))
+    if repeated:  # a component goes by its smallest doc_id
+        lows = named.groupBy("component").agg(F.min("low").alias("smallest"))
+        named = named.join(lows, "component").withColumn("component", F.col("smallest"))
+    named = named.select("n_shingles", "d1", "d2", "component")
     out = own.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _texts_of_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """set_id, text where doc_ids repeat: the rows whose own set is the one that the id stands for."""
+    """set_id, text where doc_ids repeat: of the rows with that very set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = shingle_sets(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([int(v.sum().astype(np.int64)) if len(v) else 0 for v in x], pa.int64()), pa.array([int(mix(v).sum().astype(np.int64)) if len(v) else 0 for v in x], pa.int64())], names=["set_id", "text", "d1", "d2"])
+            sums = [pa.array([int(f(v).sum().astype(np.int64)) if len(v) else 0 for v in x], pa.int64()) for f in (lambda v: v, mix)]
+            yield pa.RecordBatch.from_arrays([b.column("text"), pa.array([len(v) for v in x], pa.int64()), *sums], names=["text", "n_shingles", "d1", "d2"])
 
-    rows = docs.mapInArrow(run, "set_id bigint, text string, d1 bigint, d2 bigint")
-    return rows.join(sets.select("set_id", "d1", "d2"), ["set_id", "d1", "d2"]).groupBy("set_id").agg(F.min("text").alias("text"))
+    key = ["n_shingles", "d1", "d2"]
+    rows = docs.mapInArrow(run, "text string, n_shingles bigint, d1 bigint, d2 bigint").where("n_shingles > 0")
+    return rows.groupBy(key).agg(F.min("text").alias("text")).join(sets.select("set_id", *key), key).select("set_id", "text")

@@ -78,3 +78,10 @@ def test_long_list_parts_keep_likely_pairs():
     sig[650, :110] = sig[3, :110]
     found = {tuple(sorted((int(a), int(b)))) for c in range(op.PREFIX) for p in op.sublists(sig, np.arange(700), c) for x, y in op.across(sig, np.arange(700), p, 75) for a, b in zip(x, y)}
     assert found == {(3, 650)}
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (12, b + " more"), (13, "less " + a), (13, "c"), (7, "b0 " + b), (7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, op.near_duplicates(docs).collect()), key=str) == brute(rows)
