@@ -83,3 +83,13 @@ def test_quality_edges(spark):
     got = quality.classify(df, df)
     assert got.count() == 5 and got.where("doc_id in (2, 3) and rejected").count() == 0
     assert quality.classify(df.where("false"), df).collect() == []
+
+
+def test_repeated_rows_stay_once(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, long), (1, long), (2, "a b"), (2, "a b"), (2, "other words"), (3, long), (4, None), (4, None), (None, "a b"), (None, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, ROOT)
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    want = [(1, long), (2, "a b"), (2, "other words"), (4, None), (None, "a b"), (None, "a b")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
