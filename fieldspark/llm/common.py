@@ -19,12 +19,12 @@ SPACE[list(SPACES)] = True
 #: Bytes of text that are worked on at once, so that temporary arrays stay small.
 STEP = 2 << 20
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
 U = np.uint64
 _P, _Q, _R = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The lowest k bytes of a number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def inverse(p: np.uint64) -> np.uint64:
@@ -89,29 +89,36 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64 bits for each word; with lower, A-Z count as a-z. A polynomial over the word's bytes, in steps of bounded size."""
-    out = np.empty(len(starts), U)
-    table, p_inv, at = _BYTE_LOWER if lower else _BYTE, inverse(_P), 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP, "right")))
-        s = starts[at]
-        seg = table[data[s : ends[to - 1]]]
-        p = powers(_P, len(seg))
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(seg * p)))
-        a, e = starts[at:to] - s, ends[at:to] - s
-        out[at:to] = (sums[e] - sums[a]) * powers(p_inv, len(seg) + 1)[a] + (e - a).astype(U) * _R
-        at = to
-    return mix(out)
-
-
-def window_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64 bits for each word; with lower, A-Z count as a-z. Hashes of other seeds are independent.
+
+    A word is read in blocks of eight bytes, each mixed by a bijection that its place chooses, so words of up to eight bytes never
+    collide with those of their length, and no algebra of the text carries over to longer ones.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    key = mix(np.arange(2 * seed + 1, 2 * seed + 3, dtype=U) * _Q)
+    out = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + key[0])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * k
+        left = np.repeat(ends[long], more) - at
+        blocks = mix((eight[at] & _MASKS[np.minimum(left, 8)]) ^ mix(k.astype(U) * _R + key[1]))
+        out[long] += np.add.reduceat(blocks, first)
+    return mix(out + size.astype(U) * _R)
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """64 bits for each n consecutive elements; len(h) - n + 1 of them, over text bounds too (see inside())."""
     if len(h) < n:
         return np.zeros(0, U)
-    q = (_Q, _R)[seed] if seed < 2 else _Q
-    sums = np.concatenate((np.zeros(1, U), np.cumsum((h if not seed else mix(h + U(seed))) * powers(q, len(h)))))
-    return mix((sums[n:] - sums[:-n]) * powers(inverse(q), len(h) - n + 1))
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(h * powers(_Q, len(h)))))
+    return mix((sums[n:] - sums[:-n]) * powers(inverse(_Q), len(h) - n + 1))
 
 
 def inside(ptr: np.ndarray, n: int) -> np.ndarray:
@@ -182,9 +189,11 @@ def unpack_rows(blob: bytes) -> pa.Table:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local temporary one only where that is unset (a single machine)."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one serves a local master and nothing else."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="fieldspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -27,14 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, joined, mix, pack, pack_rows, slices, unpack, unpack_rows, word_hashes, words, written
+from .common import LOWER, U, buffers, joined, mix, pack, pack_rows, slices, unpack, unpack_rows, word_hashes, words, written
 from .substring_dedup import _ids, layout
 
 DEPTH = 6
 END = 10  # never inside a word
 END_WORD = U(0x5851F42D4C957F2D)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 SENT = "kind string, shard int, block int, blob binary"
 SENT_ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
 STATE = "kind string, shard int, block int, blob binary, node long, n0 long, n1 long, s double"

@@ -3,7 +3,7 @@
 Documents come in batches, in the order of doc_id. The index is a set of immutable runs; a run holds, for each bucket of the
 hash space, the sorted fingerprints of windows seen before. A batch's windows are sorted the same way and merge-joined with the
 runs bucket by bucket, so a window's verdict ("begins earlier somewhere") needs neither document ids nor texts in the index.
-A match counts once a second, independent fingerprint of the window agrees too (80 bits in all). New fingerprints become a run;
+A match counts once a second fingerprint, made from the bytes with other parameters, agrees too (64 and 16 bits). New fingerprints become a run;
 runs are merged once there are more than max_runs.
 
 Fingerprints travel as blobs: one sorted, compressed array for each (bucket, block), where a block is a range of doc_id with a
@@ -55,9 +55,9 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 def _prints(texts: pa.Array, window: int):
     data, offs = buffers(texts)
     s, e, ptr = words(data, offs)
-    h = word_hashes(data, s, e)
     ok = np.flatnonzero(inside(ptr, window))
-    return ok, window_hashes(h, window)[ok], window_hashes(h, window, 1)[ok].astype(np.uint16), ptr
+    full, check = (window_hashes(word_hashes(data, s, e, seed=k), window)[ok] for k in (0, 1))
+    return ok, full, check.astype(np.uint16), ptr
 
 
 def _unique(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, covered, inside, pack, slices, unpack, unpack_rows, window_hashes, word_hashes, words, written
+from .common import U, buffers, covered, inside, mix, pack, slices, unpack, unpack_rows, window_hashes, word_hashes, words, written
 from .substring_dedup import _cut, _ids, blocks_of, layout
 
 GRAM, SPAN = 8, 20
@@ -55,7 +55,7 @@ def minimisers(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def both(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return window_hashes(h, n), window_hashes(h, n, 1).astype(np.uint16)
+    return window_hashes(h, n), window_hashes(mix(h + U(1)), n).astype(np.uint16)
 
 
 def distinct(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

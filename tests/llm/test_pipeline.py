@@ -5,8 +5,6 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldspark.llm import quality
-
 from .test_minhash_dedup import brute as near
 from .test_substring_dedup import brute as substring
 
@@ -41,50 +39,6 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert np.mean([i in left for i in clean]) > 0.95
 
 
-def test_kneser_ney_against_brute_force():
-    import math
-    from collections import Counter
-
-    texts = ["a b c a b", "b c a", "c c a b d", "a", "", "a b d"]
-    tables = quality.train(*quality.token_hashes(quality.pa.array(texts)))
-    model = quality.Model(tables)
-    sents = [["<s>", *t.split(), "</s>"] for t in texts]
-    levels = {3: Counter(tuple(s[i - 2 : i + 1]) for s in sents for i in range(2, len(s)))}
-    raw = {k: Counter(tuple(s[i - k + 1 : i + 1]) for s in sents for i in range(max(1, k - 1), len(s))) for k in (1, 2)}
-    for k in (2, 1):
-        cont = Counter(g[1:] for g in levels[k + 1])
-        levels[k] = {g: cont.get(g) or c for g, c in raw[k].items()}
-
-    def p(g):
-        if not g:
-            return 1 / (len(levels[1]) + 1)
-        c = levels[len(g)]
-        n = [max(sum(v == x for v in c.values()), 1) for x in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [min(max(x, 0.1), h) for x, h in zip((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]), (0.9, 1.9, 2.9))]
-        own = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
-        if not own:
-            return p(g[1:])
-        t = sum(own.values())
-        off = lambda v: min(d[min(v, 3) - 1], v)
-        return max(own.get(g, 0) - (off(own[g]) if g in own else 0), 0) / t + sum(map(off, own.values())) / t * p(g[1:])
-
-    for t in ("a b c", "d d", "x a b", "", "b"):
-        s = ["<s>", *t.split(), "</s>"]
-        want = sum(math.log(p(tuple(s[max(0, i - 2) : i + 1]) if i > 1 else tuple(s[0:2]))) for i in range(1, len(s)))
-        h, ptr = quality.token_hashes(quality.pa.array([t]))
-        assert abs(model.log_p(h, ptr).sum() - want) < 1e-3 * max(1, abs(want))
-
-
-def test_quality_edges(spark):
-    df = spark.createDataFrame([(1, "a b c", "en", 1), (2, None, None, 1), (3, "", "en", 1), (3, "", "en", 1), (None, "x", "en", 1)], "doc_id long, text string, lang string, threshold int")
-    got = quality.classify(df, df.where("false"))
-    assert got.where("rejected").count() == 0 and sorted(r.n_tokens for r in got.collect()) == [1, 1, 1, 2, 4]
-    got = quality.classify(df, df)
-    assert got.count() == 5 and got.where("doc_id in (2, 3) and rejected").count() == 0
-    assert quality.classify(df.where("false"), df).collect() == []
-
-
 def test_repeated_rows_stay_once(spark):
     long = " ".join(f"w{k}" for k in range(30))
     rows = [(1, long), (1, long), (2, "a b"), (2, "a b"), (2, "other words"), (3, long), (4, None), (4, None), (None, "a b"), (None, "a b")]
