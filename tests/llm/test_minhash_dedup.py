@@ -56,14 +56,23 @@ def cases(seed):
     return rows
 
 
-@pytest.mark.parametrize("most_list", [50_000, 6])
+@pytest.mark.parametrize("most_list", [4096, 6, 2])
 def test_against_brute_force(spark, most_list):
+    """Whole lists, lists that are posted anew, and blocks of those give the same."""
     rows = cases(most_list)
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, kept string").repartition(4)
     assert sorted(map(tuple, op.near_duplicates(df, most_list=most_list).collect()), key=str) == brute(rows)
 
 
+def test_words_with_thue_morse_order(spark):
+    """Words that collide under any polynomial modulo 2**64."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = "".join("ba"[bin(k).count("1") % 2] for k in range(1024))
+    rows = [(1, f"p q {a} r"), (2, f"p q {b} r"), (3, a), (4, b)]
+    assert sorted(map(tuple, op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_chains_and_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.near_duplicates(df).collect() == []
@@ -72,12 +81,15 @@ def test_chains_and_empty(spark):
     assert all(got[i] == 0 for i in range(61)) and {got[100], got[150], got[200]} == {100}
 
 
-def test_long_list_parts_keep_likely_pairs():
+def test_prefix_filter_keeps_candidates():
     r = np.random.default_rng(1)
-    sig = r.integers(0, 256, (700, op.COORDINATES)).astype(np.uint8)
-    sig[650, :110] = sig[3, :110]
-    found = {tuple(sorted((int(a), int(b)))) for c in range(op.PREFIX) for p in op.sublists(sig, np.arange(700), c) for x, y in op.across(sig, np.arange(700), p, 75) for a, b in zip(x, y)}
-    assert found == {(3, 650)}
+    sig = r.integers(0, 1 << 32, (700, op.COORDINATES)).astype(np.uint32)
+    sig[:, 40:80] = sig[0, 40:80]  # a passage that all share
+    sig[650, :90] = sig[3, :90]
+    zero = np.zeros(700, int)
+    assert op.active(sig, 75).sum() == 2
+    assert [sorted((*a.tolist(), *b.tolist())) for a, b in op.across(sig, np.arange(700), zero, 0, 75)] == [[3, 650]]
+    assert not list(op.across(sig, np.arange(700), zero, 5, 75))  # coordinate 5 isn't their first common one
 
 
 def test_rows_that_share_a_doc_id(spark):
