@@ -24,10 +24,21 @@ def directions(dim: int, kind: str = ISOTROPIC) -> list[tuple[float, ...]]:
         return [(1.0, *[0.0] * (dim - 1))]
     if dim == 2:
         return [(float(np.cos(k * np.pi / 8)), float(np.sin(k * np.pi / 8))) for k in range(8)]
-    out = []  # half a sphere: the pole, and rings of azimuths at elevations in steps of 22.5 degrees
-    for e, n in ((0.0, 8), (22.5, 16), (45.0, 12), (67.5, 9)):
-        out += [(float(np.cos(np.radians(e)) * np.cos(t)), float(np.cos(np.radians(e)) * np.sin(t)), float(np.sin(np.radians(e)))) for t in (np.arange(n) * (np.pi if e == 0 else 2 * np.pi) / n)]
-    return [*out, (0.0, 0.0, 1.0)]
+    return [tuple(map(float, d)) for d in _half_icosphere()]
+
+
+def _half_icosphere() -> np.ndarray:
+    """One of each two opposite vertices of an icosahedron (a vertex at each pole) whose edges are cut in three: 46 of 92."""
+    t = np.arange(5) * 0.4 * np.pi
+    ring = np.stack((2 * np.cos(t), 2 * np.sin(t), np.ones(5)), 1) / np.sqrt(5)
+    corners = np.concatenate(([[0.0, 0.0, 1.0]], ring, [[0.0, 0.0, -1.0]], -ring))
+    near = corners @ corners.T > 0.4  # neighbours: cosine 1 / sqrt(5)
+    edges = [(i, j) for i in range(12) for j in range(12) if i != j and near[i, j]]
+    centres = [(i, j, k) for i, j in edges for k in range(12) if i < j < k and near[i, k] and near[j, k]]
+    x = np.concatenate((corners, [2 * corners[i] + corners[j] for i, j in edges], [corners[list(f)].sum(0) for f in centres]))
+    x = np.round(x / np.linalg.norm(x, axis=1)[:, None], 15) + 0.0
+    up = [v for v in x if tuple(v[::-1]) > (0.0, 0.0, 0.0)]
+    return np.array(sorted(up, key=lambda v: (-v[2], np.arctan2(v[1], v[0]))))
 
 
 def variogram(points: DataFrame, lag: float, lags: int, value: str = "v", lag_tolerance: float | None = None, angle_tolerance: float | None = None, along: list[tuple[float, ...]] | None = None, on: list[str] | None = None) -> DataFrame:
@@ -42,9 +53,7 @@ def variogram(points: DataFrame, lag: float, lags: int, value: str = "v", lag_to
     along = along or directions(len(on))
     along = [tuple(float(c) for c in np.array(d, float) / np.linalg.norm(d)) for d in along]
     coords = points.select("id", *(F.col(c).cast("double").alias(c) for c in on), F.col(value).cast("double").alias("v")).dropna()
-    p = range_join(coords, coords, (lags - 1) * lag + tol, on).where("id < other")
-    p = p.join(coords.select("id", *(F.col(c).alias(f"a{c}") for c in on), F.col("v").alias("va")), "id")
-    p = p.join(coords.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in on), F.col("v").alias("vb")), "other")
+    p = range_join(coords, coords, (lags - 1) * lag + tol, on, [*on, "v"]).where("id < other")
     dots = [sum((F.lit(d[i]) * (F.col(f"b{c}") - F.col(f"a{c}")) for i, c in enumerate(on)), F.lit(0.0)) for d in along]
     sq = F.array(*(d * d for d in dots))
     if len(along) == 1 and angle_tolerance is None:
@@ -57,7 +66,7 @@ def variogram(points: DataFrame, lag: float, lags: int, value: str = "v", lag_to
     lo = F.greatest(F.ceil((F.col("distance") - tol) / lag), F.lit(0)).cast("int")
     hi = F.least(F.floor((F.col("distance") + tol) / lag), F.lit(lags - 1)).cast("int")
     p = p.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("bin", F.explode(F.sequence("lo", "hi")))
-    half = (F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb")) / 2
+    half = (F.col("av") - F.col("bv")) * (F.col("av") - F.col("bv")) / 2
     out = p.groupBy("direction", "bin").agg(F.avg("distance").alias("bin_distance"), F.avg(half).alias("bin_gamma"), F.count(F.lit(1)).alias("num_pairs"))
     unit = F.array(*(F.array(*map(F.lit, d)) for d in along))
     return out.select("direction", *(F.element_at(F.element_at(unit, F.col("direction") + 1), i + 1).alias("d" + c) for i, c in enumerate(on)), "bin", "bin_distance", "bin_gamma", "num_pairs")

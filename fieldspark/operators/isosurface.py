@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..geometry import Bbox
+from ..plans.tables import written
 
 #: Basis of the lattice, for a resolution of 1.
 BASIS = np.array([[1 / np.sqrt(3), np.sqrt(2 / 3), 0.0], [-1 / np.sqrt(3), 0.0, np.sqrt(2 / 3)], [1 / np.sqrt(3), -np.sqrt(2 / 3), 0.0]])
@@ -144,10 +145,10 @@ def decode(c: np.ndarray) -> np.ndarray:
 def march(spark: SparkSession, lattice: Lattice, f: Field, isovalue: float = 0.0, most: int = 5_000_000) -> Mesh:
     """The raw mesh; each vertex knows the lattice node it is nearest to."""
     nodes = f(lattice.nodes(spark))
-    tri = raw_triangles(nodes, isovalue)
-    t = tri.toArrow()
-    if t.num_rows > most:
+    tri = written(raw_triangles(nodes, isovalue), spark)
+    if tri.count() > most:  # before any of them comes to the driver
         raise ValueError(f"more than {most} triangles")
+    t = tri.toArrow()
     if not t.num_rows:
         return Mesh(np.zeros((0, 3)), np.zeros((0, 3), int), _entire(nodes, lattice, isovalue), np.zeros(0, np.int64))
     a, b, s = (np.stack([t.column(f"{c}{k}").to_numpy() for k in range(3)], 1) for c in "abt")

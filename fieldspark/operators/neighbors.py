@@ -6,9 +6,11 @@ equi-join on cells, followed by the exact predicate. No side is broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +24,23 @@ def squared(a: str, b: str, on: list[str]) -> Column:
     return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in on), F.lit(0.0))
 
 
-def range_join(a: DataFrame, b: DataFrame, radius: float, on: list[str] | None = None, keep: tuple[list[str], list[str]] | None = None) -> DataFrame:
-    """Pairs (a.id as id, b.id as other, distance) within the radius, both ends included."""
+def range_join(a: DataFrame, b: DataFrame, radius: float, on: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Pairs (a.id as id, b.id as other, distance) within the radius, both ends included. carry: columns of either side that the
+    pairs keep, with a and b before their names, so that pairs needn't be joined back to the points."""
     on = on or axes(a)
     if radius < 0:
         raise ValueError("the radius must not be negative")
-    size = radius if radius > 0 else 1.0
-    left = a.select("id", *(F.col(c).cast("double").alias(c) for c in on)).dropna()
-    right = b.select("id", *(F.col(c).cast("double").alias(c) for c in on)).dropna()
+    size, carry = radius if radius > 0 else 1.0, carry or []
+    more = [c for c in carry if c not in on]
+    left = a.select("id", *(F.col(c).cast("double").alias(c) for c in on), *more).dropna(subset=["id", *on])
+    right = b.select("id", *(F.col(c).cast("double").alias(c) for c in on), *more).dropna(subset=["id", *on])
     cell = [F.floor(F.col(c) / size) for c in on]
     right = right.withColumn("cell", F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cell))))
     steps = F.array(*(F.struct(*((cell[i] + s).alias(f"c{i}") for i, s in enumerate(d))) for d in product((-1, 0, 1), repeat=len(on))))
     left = left.withColumn("cell", F.explode(steps))
     out = left.alias("a").join(right.alias("b"), F.col("a.cell") == F.col("b.cell")).withColumn("distance", F.sqrt(squared("a", "b", on)))
-    return out.where(F.col("distance") <= radius).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), "distance")
+    kept = [F.col(f"{s}.{c}").alias(s + c) for s in "ab" for c in carry]
+    return out.where(F.col("distance") <= radius).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), "distance", *kept)
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, on: list[str] | None = None, radius: float | None = None) -> DataFrame:
@@ -82,31 +87,53 @@ def pairs_within(points: DataFrame, most: float, on: list[str] | None = None) ->
     return range_join(points, points, most, on).where("id < other")
 
 
-def distance_filter(points: DataFrame, distance: float, order: str = "id", indices: DataFrame | None = None, on: list[str] | None = None, most_rounds: int = 200) -> DataFrame:
+def distance_filter(points: DataFrame, distance: float, order: str = "id", indices: DataFrame | None = None, on: list[str] | None = None, per_block: int = 20_000, most_rounds: int = 1000) -> DataFrame:
     """In the given order, rows that have no earlier kept row within the distance.
 
-    A fixpoint: a row is kept once all its earlier neighbours are removed, and removed once one of them is kept. Each round is a
-    written table. indices: ids that may be kept (all by default); order: an integer column, unique by row.
+    A row is removed once an earlier neighbour is kept, and kept once all of them are removed. Space is cut into blocks of about
+    per_block rows; a task follows the order through its whole block as far as other blocks' verdicts are known, so a round
+    settles chains of any length inside a block and only chains from block to block take further rounds. The first open row
+    of the order is settled in every round; beyond most_rounds an error is raised, never a partial result returned.
+    indices: ids that may be kept (all by default); order: an integer column, unique by row. Rows with a null coordinate have no neighbours.
     """
     if distance < LEAST_DISTANCE:
         raise ValueError(f"the distance must be {LEAST_DISTANCE} or more")
-    spark = points.sparkSession
+    spark, on = points.sparkSession, on or axes(points)
     mine = points if indices is None else points.join(indices.select("id"), "id", "left_semi")
-    rank = mine.select("id", F.col(order).alias("rank"))
-    near = range_join(mine, mine, distance, on).where("id <> other")
-    early = near.join(rank, "id").join(rank.select(F.col("id").alias("other"), F.col("rank").alias("before")), "other").where("before < rank").select("id", "other")
-    early = written(early, spark)
-    state = written(mine.select("id").join(early.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("kept")), spark)
-    known = state
+    mine = mine.select("id", F.col(order).cast("long").alias("rank"), *(F.col(c).cast("double").alias(c) for c in on))
+    s = mine.agg(F.count(F.lit(1)), *(F.min(c) for c in on), *(F.max(c) for c in on)).first()
+    if not s[0] or s[1] is None:
+        return points.join(mine.select("id"), "id", "left_semi")
+    width = [max(hi - lo, distance) for lo, hi in zip(s[1 : 1 + len(on)], s[1 + len(on) :], strict=True)]
+    edge = max(float(np.prod(width) * per_block / s[0]) ** (1 / len(on)), distance)
+    mine = mine.withColumn("block", F.xxhash64(*(F.floor(F.col(c) / edge) for c in on)))
+    near = range_join(mine, mine, distance, on, ["rank", "block"]).where("brank < arank")
+    early = written(near.select(F.col("ablock").alias("block"), "id", F.col("arank").alias("rank"), "other"), spark)
+    known = [written(mine.select("id").join(early.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("kept")), spark)]
     for _ in range(most_rounds):
-        open_ = early.join(known.select("id"), "id", "left_anti")
-        seen = open_.join(known.select(F.col("id").alias("other"), "kept"), "other", "left")
-        verdict = seen.groupBy("id").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.min(F.col("kept").isNotNull()).alias("all"))
-        new = written(verdict.where("hit or all").select("id", (~F.col("hit")).alias("kept")), spark)
+        told = reduce(DataFrame.unionByName, known)
+        left = early.join(told.select("id"), "id", "left_anti").join(told.select(F.col("id").alias("other"), "kept"), "other", "left")
+        new = written(left.select("block", "id", "rank", "other", "kept").groupBy("block").applyInArrow(_settle, "id long, kept boolean"), spark)
         if new.isEmpty():
-            break
-        known = written(known.unionByName(new), spark)
-    return points.join(known.where("kept").select("id"), "id", "left_semi")
+            return points.join(told.where("kept").select("id"), "id", "left_semi")
+        known.append(new)
+        if len(known) > 20:
+            known = [written(reduce(DataFrame.unionByName, known), spark)]
+    raise RuntimeError(f"the distance filter did not settle in {most_rounds} rounds; larger blocks (per_block) take fewer")
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """The verdicts of one block that follow from what is known, in order."""
+    ids, other, rank = (table.column(c).to_numpy() for c in ("id", "other", "rank"))
+    kept = table.column("kept").to_pylist()
+    order, said = np.argsort(rank, kind="stable"), {}
+    for rows in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1):
+        near = [said.get(o) if k is None else k for o, k in zip(other[rows].tolist(), (kept[r] for r in rows), strict=True)]
+        if True in near:
+            said[int(ids[rows[0]])] = False
+        elif None not in near:
+            said[int(ids[rows[0]])] = True
+    return pa.table({"id": pa.array(said.keys(), pa.int64()), "kept": pa.array(said.values(), pa.bool_())})
 
 
 def unique(points: DataFrame, distance: float = LEAST_DISTANCE, order: str = "id", on: list[str] | None = None) -> DataFrame:

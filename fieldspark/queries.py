@@ -153,6 +153,14 @@ def variogram_aniso_2d(spark, sf_dir):
     return _shown(S.variogram(points(spark, sf_dir, "customer"), 3.0, 6, lag_tolerance=1.3, along=S.directions(2, "anisotropic")))
 
 
+_DOTS3 = ", ".join(f"(dx * {a!r} + dy * {b!r} + dz * {c!r}) ** 2" for a, b, c in S.directions(3, "anisotropic"))
+
+
+@query("variogram_aniso_3d", _bins(f"(SELECT *, list_position(q, list_max(q)) - 1 AS w FROM (SELECT *, [{_DOTS3}] AS q FROM {_pairs(P3, 'xyz')}))", 0.05, 4, 0.025, "w"))
+def variogram_aniso_3d(spark, sf_dir):
+    return _shown(S.variogram(points(spark, sf_dir, "embeddings"), 0.05, 4, along=S.directions(3, "anisotropic")))
+
+
 _CONE = math.cos(math.radians(35.0)) ** 2
 
 
@@ -295,6 +303,13 @@ def distance_filter(spark, sf_dir):
     return N.distance_filter(points(spark, sf_dir, "embeddings"), 0.08).select("id")
 
 
+@query("distance_filter_line", "SELECT c_custkey::BIGINT AS id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE r % 2 = 1")
+def distance_filter_line(spark, sf_dir):
+    """Consecutive keys on a line, at a spacing of exactly the distance: each verdict hangs on the one before."""
+    line = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_custkey").cast("double").alias("x"))
+    return N.distance_filter(line, 1.0).select("id")
+
+
 @query("unique_rows", "SELECT min(c_custkey) AS id FROM customer GROUP BY c_nationkey")
 def unique_rows(spark, sf_dir):
     c = points(spark, sf_dir, "customer").select("id", F.col("y").alias("x"))

@@ -278,3 +278,24 @@ def test_geometry(spark):
     b = G.Bbox((0.0, 0.0), (1.0, 2.0))
     assert b.convex_hull(G.Bbox((2.0, 2.0), (3.0, 3.0))).high == (3.0, 3.0) and G.Bbox.empty(2).is_empty() and len(b.corners()) == 4
     assert json.loads(Model(Rbf("bh3")).to_json())["degree"] == 0
+
+
+def test_directions_in_space():
+    d = np.array(S.directions(3, "anisotropic"))
+    assert d.shape == (46, 3) and np.allclose(np.linalg.norm(d, axis=1), 1)
+    # fixed values: some of the vertices of the subdivided icosahedron
+    for v in ((0.0, 0.0, 1.0), (0.10607892, 0.32647735, 0.9392336), (-0.18759248, 0.57735026, 0.79465449), (0.89442718, 0.0, 0.44721359), (-0.065560378, 0.85472882, 0.51491791), (-0.98224694, 0.0, 0.18759248), (0.10607892, 0.97943211, 0.17163931)):
+        assert np.abs(d @ np.array(v)).max() > 1 - 1e-7
+    cosines = np.abs(d @ d.T) - 2 * np.eye(46)
+    assert cosines.max() < np.cos(np.radians(19))  # apart
+
+
+def test_distance_filter_chains(spark):
+    from pyspark.sql import functions as F
+
+    line = spark.range(1000).select("id", F.col("id").cast("double").alias("x"))
+    for per_block in (20_000, 90):  # in one block, through many
+        got = sorted(r.id for r in N.distance_filter(line, 1.0, per_block=per_block).collect())
+        assert got == list(range(0, 1000, 2))
+    with pytest.raises(RuntimeError):
+        N.distance_filter(line, 1.0, per_block=30, most_rounds=2)
