@@ -145,6 +145,7 @@ def across(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, coord: int, leas
     rank[small] = np.arange(len(small))
     two = side.any() and not side.all()
     half = COORDINATES // 2
+    low = (sig & 255).astype(np.uint8)  # compared first: what agrees in fewer lowest bytes can't agree in enough numbers
     for k in range(0, len(small), step):
         a = small[k : k + step]
         for j in range(0, len(at), 4096):
@@ -152,16 +153,18 @@ def across(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, coord: int, leas
             ok = (comp[a][:, None] != comp[b]) & ((rank[b] < 0)[None, :] | (rank[a][:, None] < rank[b]))
             if two:
                 ok &= side[a][:, None] != side[b]
-            p, q, seen = np.ascontiguousarray(sig[a].T), np.ascontiguousarray(sig[b].T), np.zeros((len(a), len(b)), np.uint8)
+            p, q, seen = np.ascontiguousarray(low[a].T), np.ascontiguousarray(low[b].T), np.zeros((len(a), len(b)), np.uint8)
             for c in range(COORDINATES):
                 if c == half and not (ok & (seen >= max(0, least - half))).any():
                     break
                 seen += p[c][:, None] == q[c]
             x, y = np.nonzero((seen >= least) & ok)
-            x, y = a[x], b[y]
-            first = ~(sig[x, :coord] == sig[y, :coord]).any(1) if coord else np.ones(len(x), bool)
-            if first.any():
-                yield x[first], y[first]
+            for j in range(0, len(x), 100_000):
+                u, v = a[x[j : j + 100_000]], b[y[j : j + 100_000]]
+                same = sig[u] == sig[v]
+                fine = (same.sum(1) >= least) & ~same[:, :coord].any(1)
+                if fine.any():
+                    yield u[fine], v[fine]
 
 
 def units(lists: DataFrame, most_list: int, most_shingles: int, least: int) -> DataFrame:
@@ -249,7 +252,7 @@ def joined(rows: DataFrame, texts: DataFrame, least: int, most_broadcast: int) -
 
     spark = rows.sparkSession
     kinds = "unit bigint, set_id bigint, component bigint, side int, coord int, sig binary, n_shingles bigint"
-    buckets = int((rows.agg(F.count(F.lit(1))).first()[0] or 0) // 8_000) + 16
+    buckets = int((rows.agg(F.count(F.lit(1))).first()[0] or 0) // 4_000) + 16
     need = rows.groupBy(F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(buckets)).alias("bucket")).applyInArrow(asked, kinds)
     need = written(need, spark, "asked")
     n, total = need.agg(F.countDistinct("set_id"), F.sum("n_shingles")).first()
