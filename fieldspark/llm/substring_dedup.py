@@ -35,17 +35,18 @@ RESULT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_re
 
 
 def layout(docs: DataFrame, block_bytes: int, batches: int) -> tuple[list[int], int, int]:
-    """Upper doc_ids of the blocks, the number of buckets, the first block of the second and later batches' step.
+    """Upper doc_ids of the blocks, the number of buckets, the number of blocks.
 
-    One pass over ids and lengths. The bounds come from a quantile sketch: uneven blocks cost balance, never rows.
+    One pass over ids and lengths. The bounds come from a quantile sketch: uneven blocks cost balance, never rows. Blocks keep their
+    size up to a million of them, whose bounds the driver can hold.
     """
-    steps = [k / 4096 for k in range(1, 4096)]
-    n, size, qs = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.percentile_approx("doc_id", steps, 50_000)).first()
-    blocks = int(min(4096, max(batches, (size or 0) // block_bytes + 1)))
-    qs = sorted(set(qs or []))
-    bounds = sorted({qs[min(len(qs) - 1, k * len(qs) // blocks)] for k in range(1, blocks)}) if qs else []
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = int(min(1_000_000, max(batches, (size or 0) // block_bytes + 1)))
+    steps = [k / blocks for k in range(1, blocks)]
+    qs = docs.agg(F.percentile_approx("doc_id", steps, max(50_000, 4 * blocks))).first()[0] if steps and n else []
+    bounds = sorted(set(qs or []))
     buckets = 1 << max(6, int((size or 0) // (24 << 20)).bit_length())
-    return bounds, min(buckets, 1 << 16), len(bounds) + 1
+    return bounds, buckets, len(bounds) + 1
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -77,7 +78,7 @@ def _unique(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(h: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     at = np.searchsorted(h >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
-    return [(k, slice(int(at[k]), int(at[k + 1]))) for k in range(1 << bits) if at[k] < at[k + 1]]
+    return [(int(k), slice(int(at[k]), int(at[k + 1]))) for k in np.flatnonzero(np.diff(at))]
 
 
 def fingerprints(docs: DataFrame, bounds: list[int], bits: int, window: int) -> DataFrame:

@@ -1,17 +1,22 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by a sparse suffix array.
 
 Of a text's suffixes (in words) only those at minimiser positions are kept: the smallest GRAM-word hash of each SPAN consecutive
-ones. Any two copies of a passage of `least` words keep the same suffix among their first SPAN words. The kept suffixes, by the
-hash of their first least - SPAN + 1 words, are sorted and neighbours compared; where two documents meet, the match is extended
-left and right: every window of `least` words around the suffix is hashed, sorted and compared with its neighbours in turn. A word
-belongs to a repeated passage exactly if such a window around it occurs in another document too.
+ones. Any two copies of a passage of `least` words keep the same suffix among their first SPAN words, so they share the `least` - SPAN + 1
+words from there on, and that is how far suffixes are compared. A word's symbol is 16 bits of its hash.
 
-Suffixes travel as sorted blobs for each (bucket, block of documents), each distinct one once with a mark if two documents of the
-block have it; a passage in a third of all documents therefore reaches a bucket once for each block. Equality is that of a 64-bit
-hash and a 16-bit check of a second one. Only blocks that hold a repeated suffix are told of it.
+1. Suffixes go to ranges of their order (bounds from a sample of them; uneven ones cost balance, never rows). A range's task sorts them
+   as word sequences and measures the common prefix of neighbours; equal symbols up to the end make a candidate match.
+2. A match is extended left and right: around a matched suffix, each window of `least` words that holds it among its first SPAN words
+   is compared, as a whole, with those of other documents (64 and 16 bits of independent hashes of the words), so every alignment of every
+   pair counts and not the nearest neighbour's alone. A word belongs to a repeated passage exactly if such a window occurs in another document.
+
+Suffixes and windows travel as sorted blobs for each (range, block of documents), each distinct one once with a mark if two documents of
+the block have it; a passage in a third of all documents therefore reaches a range once for each block. Only blocks that hold a match
+are told of it.
 
 Nulls: a null text has no words. Rows count as documents, also where they share a doc_id or it is null (the last block). Passages
-that repeat inside one document alone don't count. An empty table gives an empty result; other columns are ignored.
+that repeat inside one document alone don't count. Very long texts are read whole. Ties (equal suffixes) are one entry. An empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,8 +59,34 @@ def minimisers(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.flatnonzero((top == g) & (top > 0))
 
 
-def both(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return window_hashes(h, n), window_hashes(mix(h + U(1)), n).astype(np.uint16)
+def both(h: np.ndarray, check: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return window_hashes(h, n), window_hashes(check, n).astype(np.uint16)
+
+
+def symbols(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Suffixes as rows of 16-bit symbols for n words, four to a number, so that numbers from left to right give their order."""
+    wide = np.zeros((len(at), -(-n // 4) * 4), ">u2")
+    if len(at):
+        wide[:, :n] = np.lib.stride_tricks.sliding_window_view((h >> U(48)).astype(">u2"), n)[at]
+    return wide.view(">u8").astype(U)
+
+
+def digest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 16 bits of each suffix, for the way back."""
+    h = c = np.zeros(len(rows), U)
+    for k in range(rows.shape[1]):
+        h, c = mix(h + rows[:, k]), mix((c ^ rows[:, k]) * U(0x9E3779B97F4A7C15) + U(1))
+    return h, c.astype(np.uint16)
+
+
+def ordered(rows: np.ndarray, *last: np.ndarray) -> np.ndarray:
+    return np.lexsort((*last, *rows.T[::-1]))
+
+
+def common(rows: np.ndarray, n: int) -> np.ndarray:
+    """The common prefix of each suffix with the next one, in words."""
+    same = rows[1:].astype(">u8").view(">u2")[:, :n] == rows[:-1].astype(">u8").view(">u2")[:, :n]
+    return np.where(same.all(1), n, same.argmin(1))
 
 
 def distinct(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +118,56 @@ class Sender:
         self.held, self.size = {}, 0
 
 
+class SuffixSender:
+    """Collects suffixes by block and sends them in order, by range."""
+
+    def __init__(self, bounds: np.ndarray, n: int):
+        self.bounds, self.n, self.held, self.size = bounds, n, {}, 0
+
+    def add(self, block: int, rows: np.ndarray, doc: np.ndarray) -> None:
+        self.held.setdefault(block, []).append((rows, doc))
+        self.size += len(rows)
+
+    def flush(self) -> Iterator[tuple]:
+        for block, parts in sorted(self.held.items()):
+            rows, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = ordered(rows, doc)
+            rows, doc = rows[order], doc[order]
+            if len(rows):
+                at = np.flatnonzero(np.concatenate(([True], common(rows, self.n) < self.n)))
+                two = (doc[at] != doc[np.append(at[1:], len(doc)) - 1]).astype(np.uint8)
+                rows = rows[at]
+                cut = [0, *np.searchsorted(rows[:, 0], self.bounds), len(rows)]
+                yield from ((k, block, pack(rows[a:b, 0], *rows[a:b, 1:].T, two[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b)
+        self.held, self.size = {}, 0
+
+
+def _suffix_array(n: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One range: every block's suffixes in one order. Those with an equal neighbour are told to the blocks that have them."""
+        width, hits = -(-n // 4), []
+        parts = [unpack(x.as_py(), *["u8"] * (width - 1), "u1") for x in table.column("blob")]
+        rows = np.concatenate([np.stack(p[:-1], 1) for p in parts])
+        two = np.concatenate([p[-1] for p in parts]) > 0
+        of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        order = ordered(rows)
+        equal = common(rows[order], n) >= n
+        hit = two
+        hit[order[1:]] |= equal
+        hit[order[:-1]] |= equal
+        # equal suffixes with a block that has two documents among them
+        group = np.concatenate(([0], np.cumsum(~equal)))
+        hit[order] |= (np.bincount(group, two[order]) > 0)[group]
+        blocks = table.column("block").to_pylist()
+        for i in np.unique(of[hit]):
+            h, c = digest(rows[hit & (of == i)])
+            order = np.lexsort((c, h))
+            hits.append((table.column("bucket")[0].as_py(), blocks[i], pack(h[order], c[order])))
+        return pa.Table.from_arrays([pa.array([r[i] for r in hits], t) for i, t in enumerate(SENT_ROWS.types)], schema=SENT_ROWS)
+
+    return run
+
+
 def _neighbours(table: pa.Table) -> pa.Table:
     """One bucket: every block's entries sorted together; those that meet an equal neighbour are told to the blocks that have them."""
     bucket = table.column("bucket")[0].as_py()
@@ -136,13 +217,15 @@ def around(places: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return np.flatnonzero((np.cumsum(mark[:-1]) > 0) & ok)
 
 
-def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20) -> DataFrame:
+def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20, most_sampled: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_repeated, spans (in words) of the documents that share a passage of so many words with another one."""
     if least < SPAN + GRAM:
         raise ValueError(f"least must be {SPAN + GRAM} words or more")
     key = least - SPAN + 1
     bounds, buckets, _ = layout(docs, block_bytes, 1)
-    bits, cuts = min(12, buckets.bit_length() - 1), np.array(bounds, np.int64)
+    bits, cuts = buckets.bit_length() - 1, np.array(bounds, np.int64)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
 
     def rows_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SENT_ROWS.types)], schema=SENT_ROWS)
@@ -152,25 +235,36 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20) -> Da
         s, e, ptr = words(data, offs)
         h = word_hashes(data, s, e)
         at = minimisers(h, ptr)
-        full, check = both(h, key)
-        at = at[at < len(full)]
+        at = at[at < max(len(h) - key + 1, 0)]
         at = at[inside(ptr, key)[at]]
-        return h, ptr, at, full[at], check[at]
+        return h, word_hashes(data, s, e, seed=1), ptr, at, symbols(h, at, key)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            first = suffixes(b)[-1][:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array((first ^ U(1 << 63)).view(np.int64))], names=["first"])  # signed, in the same order
+
+    # about most_sampled suffixes of evenly hashed documents
+    rate = min(1.0, most_sampled * 64 / max(1, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1))
+    some = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(rate * (1 << 30))).mapInArrow(sampled, "first bigint")
+    steps = [k / buckets for k in range(1, buckets)]
+    at = some.agg(F.percentile_approx("first", steps, 20 * buckets)).first()[0] or []
+    ranges = np.unique(np.array(at, np.int64).view(U) ^ U(1 << 63))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        send, doc = Sender(bits), 0
+        send, doc = SuffixSender(ranges, key), 0
         for b in slices(batches):
-            _, ptr, at, f, c = suffixes(b)
+            _, _, ptr, at, rows = suffixes(b)
             row = np.searchsorted(ptr, at, "right") - 1
             of = np.searchsorted(cuts, _ids(b), "left")[row]
             for block in np.unique(of):
                 m = of == block
-                send.add(int(block), f[m], c[m], row[m] + doc)
+                send.add(int(block), rows[m], row[m] + doc)
             doc += b.num_rows
-            if send.size > 1_500_000 and (rows := list(send.flush())):
-                yield rows_of(rows)
-        if rows := list(send.flush()):
-            yield rows_of(rows)
+            if send.size > 600_000 and (out := list(send.flush())):
+                yield rows_of(out)
+        if out := list(send.flush()):
+            yield rows_of(out)
 
     def extend(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not (docs.num_rows and told.num_rows):
@@ -178,9 +272,9 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20) -> Da
         known, send, doc = Known(told.column("blob")), Sender(bits), 0
         for blob in docs.column("blob"):
             for b in slices(unpack_rows(blob.as_py()).to_batches()):
-                h, ptr, at, f, c = suffixes(b)
-                starts = around(at[known.holds(f, c)], inside(ptr, least))
-                w, wc = both(h, least)
+                h, check, ptr, at, rows = suffixes(b)
+                starts = around(at[known.holds(*digest(rows))], inside(ptr, least))
+                w, wc = both(h, check, least)
                 send.add(docs.column("block")[0].as_py(), w[starts], wc[starts], np.searchsorted(ptr, starts, "right") - 1 + doc)
                 doc += b.num_rows
         return pa.Table.from_batches([rows_of(list(send.flush()))])
@@ -195,7 +289,7 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20) -> Da
                 s, e, ptr = words(data, offs)
                 h = word_hashes(data, s, e)
                 ok = np.flatnonzero(inside(ptr, least))
-                w, wc = both(h, least)
+                w, wc = both(h, word_hashes(data, s, e, seed=1), least)
                 starts = ok[known.holds(w[ok], wc[ok])]
                 got = covered(starts, least, len(s))
                 for k in np.unique(np.searchsorted(ptr, starts, "right") - 1):
@@ -204,9 +298,7 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20) -> Da
                     out.append((b.column("doc_id")[int(k)].as_py(), int(ptr[k + 1] - ptr[k]), int(mine.sum()), [{"start": int(x), "length": int(y - x)} for x, y in zip(edge[::2], edge[1::2], strict=True)]))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(RESULT_ROWS.types)], schema=RESULT_ROWS)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    told = written(texts.mapInArrow(first, SENT).groupBy("bucket").applyInArrow(_neighbours, SENT), spark, "suffixes", "snappy")
+    told = written(texts.mapInArrow(first, SENT).groupBy("bucket").applyInArrow(_suffix_array(key), SENT), spark, "suffixes", "snappy")
     sent = blocks_of(texts, bounds).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(extend, SENT)
     told = written(sent.groupBy("bucket").applyInArrow(_neighbours, SENT), spark, "windows", "snappy")
     return blocks_of(texts, bounds).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(mark, RESULT)

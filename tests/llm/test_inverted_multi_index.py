@@ -20,9 +20,9 @@ def test_recall_order_and_edges(spark):
     rows += [(1000 + i, rows[5][1]) for i in range(150)]  # one common vector
     rows += [(2000, None), (2010, [0.0] * 8), (2020, [float("nan")] + [1.0] * 7), (2030, [None] + [1.0] * 7), (2040, [1.0] * 3), (None, [1.0] * 8), (2050, [float("inf")] + [1.0] * 7), (2060, [])]
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, cell int").repartition(3)
-    for most_cell in (20_000, 40):
+    for most_entries, most_queries in ((20_000, 5_000), (40, 3)):
         got = {}
-        for x in op.search(df, F.col("vec_id") % 10 == 0, most=400, most_cell=most_cell).orderBy("query_id", "rank").collect():
+        for x in op.search(df, F.col("vec_id") % 10 == 0, most=400, most_entries=most_entries, most_queries=most_queries).orderBy("query_id", "rank").collect():
             got.setdefault(x.query_id, []).append((x.score, x.vec_id))
             assert x.rank == len(got[x.query_id])
         want = brute(rows, 10, None)
@@ -44,6 +44,22 @@ def test_few_and_empty(spark):
 def test_walk_visits_all_cells_in_order():
     r = np.random.default_rng(2)
     a, b = r.random(5), r.random(7)
-    cells = list(op.walk(a, b))
-    s = [a[c // 7] + b[c % 7] for c in cells]
-    assert sorted(cells) == list(range(35)) and s == sorted(s)
+    got = list(op.walk(a, b))
+    s = [a[c // 7] + b[c % 7] for _, c in got]
+    assert sorted(c for _, c in got) == list(range(35)) and s == sorted(s) == [x for x, _ in got]
+
+
+def test_one_dimension(spark):
+    df = spark.createDataFrame([(i, [float(i * i + 1)]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in op.search(df, F.col("vec_id") == 10, k=3).orderBy("rank").collect()]
+    assert got == [(10, 1, 9, 19.0), (10, 2, 11, 21.0), (10, 3, 8, 36.0)]
+
+
+def test_clustered_vectors_visit_few(spark):
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(300, 16)) * 5, 20, axis=0) + r.normal(size=(6000, 16))
+    index = op.Index(x, len(x), 512)
+    sizes = np.bincount(index.cells(x), minlength=len(index.c1) * len(index.c2))
+    stored = spark.createDataFrame(list(zip(range(6000), x.tolist(), index.cells(x).tolist())), "vec_id long, v array<double>, cell int")
+    probes = [(i, x[i].tolist()) for i in range(0, 6000, 200)]
+    assert op.calibrated(stored, index, probes, sizes, 10, 0.95, 16) < 0.1 * len(x)
