@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, bounds: list[int], bits: int, window: int) ->
             for block in np.unique(of):
                 held.setdefault(int(block), []).append((h[of == block], c[of == block]))
             size += len(ok)
-            if size > 2_500_000:
+            if size > 1_200_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -261,13 +261,13 @@ def blocks_of(docs: DataFrame, bounds: list[int], carry: tuple[str, ...] = ()) -
                 size = 0
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry).mapInArrow(run, "block int, blob binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")).mapInArrow(run, "block int, blob binary")
 
 
-def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes: int = 10 << 20, max_runs: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes: int = 6 << 20, max_runs: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: each document without the words of windows that also start earlier.
 
-    carry: further columns of docs that the result keeps. The documents go through the index in so many batches, as they would over days. An empty table gives an empty result.
+    carry: further columns of docs that the result keeps (text: as it was). The documents go through the index in so many batches, as they would over days. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounds, buckets, n = layout(docs, block_bytes, batches)
