@@ -36,11 +36,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages seen earlier; a document of which nothing is left goes."""
-    out = substring_dedup.deduplicate(docs.withColumn("whole", F.col("text")), carry=("lang", "source", "n_chars", "whole"))
+    out = substring_dedup.deduplicate(docs, carry=("text", "lang", "source", "n_chars"))
     out = out.where("not (n_removed > 0 and kept_text = '')")
     cut = F.col("n_removed") > 0
     # untouched documents keep their own white space
-    return out.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("whole")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
