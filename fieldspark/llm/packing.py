@@ -1,9 +1,11 @@
 """Packing of tokenised documents into sequences of a fixed length: bounded-space online best fit.
 
-Each partition keeps a fixed number of open sequences. A document's rest (after whole sequences are cut from it) goes to the
-open sequence with the smallest sufficient gap; when none fits and no more may be opened, the fullest is filled up with the
-document's next tokens and emitted, so an emitted sequence carries no padding. What is open when a partition ends goes, with its
-tokens, to a second step that merges the leftovers of a bounded number of partitions and re-cuts them.
+Each partition keeps a fixed number of open sequences. A document (what remains of it after whole sequences are cut from it) goes to
+the open sequence with the smallest sufficient gap; when none fits and no more may be opened, the fullest is emitted and a new one
+opened for the document, which stays whole. The gap of an emitted sequence is filled from one document held in reserve, the only one
+that is cut: the rest of a long document, or else the one that didn't fit. So emitted sequences carry no padding (fill=False: no
+reserve, and their gaps are padding). What is open or in reserve when a partition ends goes, with its tokens, to a second step that
+merges the leftovers of a bounded number of partitions: placed anew, then the emptiest are cut to fill the fullest.
 
 Tokens come from a tokenizer file, one distinct word at a time: the vocabulary's pre-tokeniser never joins what white space
 separates, nor an ASCII letter with the ASCII punctuation behind it, so a text's ids are those of its pieces in turn. Texts of
@@ -112,38 +114,81 @@ def tokens(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndar
 
 
 class Packer:
-    """Open sequences of one partition. Pieces are (doc_id, start, ids, doc_tokens)."""
+    """Open sequences of one partition and the document in reserve. Pieces are (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, length: int, open_most: int, first_id: int):
-        self.length, self.most, self.next, self.open, self.done = length, open_most, first_id, [], []
+    def __init__(self, length: int, open_most: int, first_id: int, fill: bool = True):
+        self.length, self.most, self.next, self.fill = length, open_most, first_id, fill
+        self.open, self.done, self.reserve = [], [], None
 
     def _emit(self, pieces: list) -> None:
         self.done.append((self.next, pieces))
         self.next += 1
 
+    def _place(self, w: list, piece: tuple) -> None:
+        w[1].append(piece)
+        w[0] -= len(piece[2])
+        if not w[0]:
+            self.open = [x for x in self.open if x is not w]
+            self._emit(w[1])
+
+    def _from_reserve(self, w: list) -> None:
+        """Tokens of the reserve into the gap of w, as far as both go."""
+        doc_id, start, ids, total = self.reserve
+        n = min(w[0], len(ids))
+        self.reserve = (doc_id, start + n, ids[n:], total) if n < len(ids) else None
+        self._place(w, (doc_id, start, ids[:n], total))
+
     def add(self, doc_id: int | None, start: int, ids: np.ndarray, total: int) -> None:
         while len(ids) >= self.length:
             self._emit([(doc_id, start, ids[: self.length], total)])
             ids, start = ids[self.length :], start + self.length
-        while len(ids):
-            fits = [w for w in self.open if w[0] >= len(ids)]
-            if fits:
-                w = min(fits, key=lambda w: w[0])
-            elif len(self.open) < self.most:
-                self.open.append(w := [self.length, []])
+        if not len(ids):
+            return
+        piece = (doc_id, start, ids, total)
+        if self.fill and self.reserve is None and len(ids) < total:
+            self.reserve = piece
+            return
+        fits = [w for w in self.open if w[0] >= len(ids)]
+        if fits:
+            self._place(min(fits, key=lambda w: w[0]), piece)
+            return
+        if len(self.open) == self.most:
+            fullest = min(self.open, key=lambda w: w[0])
+            if not self.fill:
+                self.open = [w for w in self.open if w is not fullest]
+                self._emit(fullest[1])
             else:
-                w = min(self.open, key=lambda w: w[0])
-            here, ids_rest = ids[: w[0]], ids[w[0] :]
-            w[1].append((doc_id, start, here, total))
-            w[0] -= len(here)
-            ids, start = ids_rest, start + len(here)
-            if not w[0]:
-                self.open.remove(w)
-                self._emit(w[1])
+                if self.reserve is not None:
+                    self._from_reserve(fullest)
+                if fullest[0]:
+                    self.reserve = piece
+                    self._from_reserve(fullest)
+                    return
+        self.open.append(w := [self.length, []])
+        self._place(w, piece)
+
+    def finish(self) -> None:
+        """Emits all that is open: the reserve and the pieces of the emptiest sequences fill the gaps of the fullest."""
+        while self.open:
+            fullest = min(self.open, key=lambda w: w[0])
+            while self.fill and fullest[0] and (self.reserve is not None or len(self.open) > 1):
+                if self.reserve is None:
+                    emptiest = max((w for w in self.open if w is not fullest), key=lambda w: w[0])
+                    self.reserve = emptiest[1].pop()
+                    emptiest[0] += len(self.reserve[2])
+                    if not emptiest[1]:
+                        self.open = [w for w in self.open if w is not emptiest]
+                self._from_reserve(fullest)
+            if fullest[0]:
+                self.open = [w for w in self.open if w is not fullest]
+                self._emit(fullest[1])
+        if self.reserve is not None:
+            self._emit([self.reserve])
+            self.reserve = None
 
     def rows(self, leftover: bool, part: int, with_ids: bool) -> pa.RecordBatch:
-        """The finished sequences, or what is still open."""
-        sequences = [(-1, w[1]) for w in self.open] if leftover else self.done
+        """The finished sequences, or what is still open or in reserve."""
+        sequences = [(-1, w[1]) for w in self.open] + [(-1, [self.reserve])] * (self.reserve is not None) if leftover else self.done
         out = []
         for sid, pieces in sequences:
             at = 0
@@ -156,15 +201,17 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(ROWS.types), ROWS.types, strict=True)], schema=ROWS)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, open_most: int = 8, merge: int = 16, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, open_most: int = 8, merge: int = 16, with_ids: bool = False, fill: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its ids (uint32).
 
     open_most: open sequences in a partition. merge: partitions whose leftovers meet in one task.
+    fill: False packs by the placing rule alone, which cuts no document shorter than a sequence and pads what it emits.
+    Very long texts are tokenised whole and cut into whole sequences first; ties between equal gaps go to the sequence opened first.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        p = Packer(length, open_most, part << 32)
+        p = Packer(length, open_most, part << 32, fill)
         for b in slices(batches, step=8 << 20):
             for c in slices([b], step=1 << 20) if b.num_rows < 2 else [b]:
                 ids, ptr = tokens(c.column("text"), tokenizer, end_id)
@@ -174,17 +221,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, o
         yield p.rows(True, part, with_ids)
 
     def last(key: tuple, table: pa.Table) -> pa.Table:
-        p = Packer(length, open_most, (1 << 62) | (int(key[0].as_py()) << 32))
+        p = Packer(length, open_most * merge, (1 << 62) | (int(key[0].as_py()) << 32), fill)
         rows = sorted(table.to_pylist(), key=lambda r: (-r["length"], r["part"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"]))
         for r in rows:
             p.add(r["doc_id"], r["start"], np.frombuffer(r["ids"], np.uint32), r["doc_tokens"])
-        end, p.most = p.open, 1
-        p.open = []
-        for w in sorted(end, key=lambda w: w[0]):
-            for x in w[1]:
-                p.add(*x)
-        for w in p.open:
-            p._emit(w[1])
+        p.finish()
         return pa.Table.from_batches([p.rows(False, 0, with_ids)])
 
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, COLUMNS)

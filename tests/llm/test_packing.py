@@ -67,3 +67,37 @@ def test_same_ids_as_whole_texts(texts):
     ids, ptr = op.tokens(op.pa.array(texts, op.pa.string()), PATH, 2)
     for k, x in enumerate(texts):
         assert ids[ptr[k] : ptr[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 2]
+
+
+def packed(sizes, fill, most=4, length=100):
+    p = op.Packer(length, most, 0, fill)
+    for k, n in enumerate(sizes):
+        p.add(k, 0, np.arange(n, dtype=np.uint32), n)
+    p.finish()
+    return p.done
+
+
+@pytest.mark.parametrize("fill", [True, False])
+@settings(max_examples=80, deadline=None)
+@given(sizes=st.lists(st.integers(1, 330), max_size=60))
+def test_each_token_in_one_piece(fill, sizes):
+    done = packed(sizes, fill)
+    parts = {}
+    for _, pieces in done:
+        assert 0 < sum(len(x[2]) for x in pieces) <= 100
+        for k, start, ids, total in pieces:
+            assert total == sizes[k] and ids.tolist() == list(range(start, start + len(ids)))
+            parts.setdefault(k, []).append((start, len(ids)))
+    assert {k: sum(n for _, n in p) for k, p in parts.items()} == dict(enumerate(sizes))
+    if fill:
+        assert len(done) == -(-sum(sizes) // 100)
+    else:
+        assert all(len(p) == -(-sizes[k] // 100) for k, p in parts.items())
+
+
+def test_the_reserve_alone_is_cut():
+    """Two sequences are open and nothing fits the last document: the fullest goes, filled from the rest of the long document."""
+    done = packed([130, 60, 70, 80], True, 2)
+    assert done[0][1][0][0] == 0 and [(x[0], len(x[2])) for x in done[1][1]] == [(2, 70), (0, 30)]
+    assert sum(len(pieces) for _, pieces in done) == 6
+    assert [[(x[0], len(x[2])) for x in pieces] for _, pieces in packed([60, 70, 80], False, 2)] == [[(1, 70)], [(2, 80)], [(0, 60)]]
