@@ -219,6 +219,24 @@ class Rbf:
         g, a = self.kernel.slope(_Spark, r, *self.params), self.matrix(len(diff))
         return [sum((g * x[i] * float(a[i, j]) for i in range(len(x))), F.lit(0.0)) for j in range(len(x))]
 
+    def hessian_columns(self, *diff: Column) -> list[list[Column]]:
+        if self.kernel.bend is None:
+            raise ValueError(f"{self.name} has no Hessian")
+        x, r = self._moved(list(diff))
+        g, h, a, d = self.kernel.slope(_Spark, r, *self.params), self.kernel.bend(_Spark, r, *self.params), self.matrix(len(diff)), range(len(diff))
+        own = [[h * x[k] * x[m] + (g if k == m else F.lit(0.0)) for m in d] for k in d]
+        return [[sum((float(a[k, i] * a[m, j]) * own[k][m] for k in d for m in d if a[k, i] * a[m, j]), F.lit(0.0)) for j in d] for i in d]
+
+
+def on_arrays(rbf: Rbf) -> Callable:
+    """The kernel as a function of an array of distances, after anisotropy."""
+    return lambda r: rbf.kernel.value(_Numpy, r, *rbf.params)
+
+
+def spheroidal_edge(rbf: Rbf) -> float:
+    """Where the direct part ends."""
+    return _SPHEROIDAL[rbf.name][0] * rbf.params[1]
+
 
 def split_spheroidal(rbf: Rbf) -> tuple[Callable, Callable]:
     """The direct part (zero beyond the edge) and the smooth part, whose sum is the kernel; both of r."""

@@ -62,6 +62,9 @@ class Lagrange:
     def evaluate(self, x: np.ndarray) -> np.ndarray:
         return design(x, self.degree) @ self.coefficients
 
+    def columns(self, coordinates: list[Column]) -> list[Column]:
+        return [evaluate(coordinates, self.degree, c) for c in self.coefficients.T]
+
 
 def unisolvent(points: np.ndarray, degree: int) -> np.ndarray:
     """Indices of a well-conditioned unisolvent subset: pivoted Gram-Schmidt on the rows of the design matrix."""

@@ -52,6 +52,16 @@ def to_string(value: Column) -> Column:
     return value.cast("string")
 
 
+def bit_peek(bits: Column) -> Column:
+    """The place of the lowest bit that is set, from 0; null without any."""
+    return F.when(bits != 0, F.bit_count(bits.bitwiseXOR(bits - 1)) - 1)
+
+
+def bit_pop(bits: Column) -> Column:
+    """bits without the lowest that is set."""
+    return bits.bitwiseAND(bits - 1)
+
+
 def absolute_error(a: np.ndarray, b: np.ndarray, p: float = np.inf) -> float:
     return float(np.linalg.norm(np.asarray(a) - b, p)) if len(a) else 0.0
 

@@ -109,3 +109,9 @@ def complement(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def where(df: DataFrame, test: Column, key: str = "id") -> DataFrame:
     """Ids of the rows that pass; null and NaN don't."""
     return df.where(F.coalesce(test, F.lit(False))).select(key)
+
+
+def zip_sort(keys: Column | str, values: Column | str) -> tuple[Column, Column]:
+    """Two array columns of one length in the order of the first; equal keys by value."""
+    both = F.array_sort(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))))
+    return both["k"], both["v"]

@@ -20,9 +20,11 @@ from ..functions import polynomial as P
 from ..geometry import Bbox, axes
 from ..model import Model
 from .krylov import fgmres
+from .summation import cluster_sums
 
 DENSE = 6000  # rows of a system that is solved densely
 TILE = 2_000_000  # kernel values at once
+CLUSTERS = 1000  # centres from which a wanted accuracy is met by sums over clusters
 
 
 def _tiles(n: int, m: int) -> Iterator[slice]:
@@ -173,20 +175,29 @@ class Interpolant:
             out.append(kernel_rows(self.model, x[:0], gx[s], self.centers, self.grad_centers) @ w + P.gradient_design(gx[s], self.model.degree) @ c)
         return np.concatenate(out) if out else np.zeros(0)
 
-    def evaluate(self, points: DataFrame, gradients: bool = False, name: str = "value", on: list[str] | None = None) -> DataFrame:
-        """points with a value column, and with gradients columns dx[, dy[, dz]]. A null or NaN coordinate gives null."""
+    def evaluate(self, points: DataFrame, gradients: bool = False, name: str = "value", on: list[str] | None = None, accuracy: float = 0.0) -> DataFrame:
+        """points with a value column, and with gradients columns dx[, dy[, dz]]. A null or NaN coordinate gives null.
+
+        accuracy: 0 for exact sums; above, values come from sums over clusters of centres where these reach it (cluster_sums) and the
+        fit has no gradient centres. Gradients, and kernels with an end or few centres, are exact.
+        """
         self._fitted()
+        if accuracy < 0:
+            raise ValueError("the accuracy must not be negative")
         on = on or axes(points)
-        shared = points.sparkSession.sparkContext.broadcast((self.model, self.centers, self.grad_centers, self.weights))
+        mu = len(self.centers)
+        sums = cluster_sums(self.model, self.centers, self.weights[:mu], accuracy) if accuracy and mu > CLUSTERS and not len(self.grad_centers) else None
+        shared = points.sparkSession.sparkContext.broadcast(((self.model, self.centers, self.grad_centers, self.weights), sums))
         extra = [name, *(["d" + a for a in on] if gradients else [])]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = Interpolant(*shared.value)
+            parts, sums = shared.value
+            f = Interpolant(*parts)
             for b in batches:
                 x = np.stack([b.column(a).cast(pa.float64()).to_numpy(zero_copy_only=False) for a in on], 1)
                 ok = np.isfinite(x).all(1)
                 v = np.full((len(x), len(extra)), np.nan)
-                v[ok, 0] = f.values(x[ok])
+                v[ok, 0] = f.values(x[ok]) if sums is None else sum(c.values(x[ok]) for c in sums) + P.design(x[ok], f.model.degree) @ f.weights[len(f.centers) :]
                 if gradients:
                     v[ok, 1:] = f.values(x[:0], x[ok]).reshape(-1, len(on))
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v[:, k], mask=~ok) for k in range(len(extra)))], names=[*b.schema.names, *extra])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from . import geometry as G
 from .functions import polynomial as P
+from .functions import predicates as T
+from .functions import scalar as Z
 from .functions.kernels import KERNELS, Rbf
 from .functions.scalar import inv_normal_cdf_sql
 from .model import Model
@@ -18,8 +20,10 @@ from .operators import geostatistics as S
 from .operators import isosurface as I
 from .operators import neighbors as N
 from .operators import pointcloud as C
-from .operators.interpolation import Interpolant, cross_validate, training
-from .sources import points
+from .operators.interpolation import Interpolant, cross_validate, saddle_map, training
+from .operators.summation import compact_sum
+from .plans.tables import shared_dir
+from .sources import points, read_table, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -483,3 +487,155 @@ def surface_reconstruction(spark, sf_dir):
     f = Interpolant(Model(Rbf("bh3"), 0)).fit(*training(s))
     m = I.generate(spark, _BOX, 0.2, I.field_of(f), 0.0, local=lambda q: f.values(q))
     return spark.createDataFrame([tuple(map(float, v)) for v in m.vertices], "x double, y double, z double")
+
+
+# ---- tables in and out, small functions ------------------------------------------------------------
+@query("table_round_trip", "SELECT round(id, 0)::BIGINT AS id, x, v FROM " + P1)
+def table_round_trip(spark, sf_dir):
+    """Supplier points as delimited text and back."""
+    path = shared_dir(spark)
+    write_table(points(spark, sf_dir, "supplier").withColumn("k", F.col("id")), path, order="k")
+    return read_table(spark, path, ["key", "x", "v"]).select(F.col("key").cast("long").alias("id"), "x", "v")
+
+
+@query("interpolant_save_load", f"SELECT a::BIGINT AS id, round(va + 0.5 / (b - a) * (vb - va), 4) + 0.0 AS value FROM {_BRACKETS} WHERE b IS NOT NULL")
+def interpolant_save_load(spark, sf_dir):
+    path = shared_dir(spark)
+    _fit1(spark, sf_dir, Model(Rbf("bh3"), 0)).save(spark, path)
+    return Interpolant.load(spark, path).evaluate(_between(spark, sf_dir)).select("id", rounded("value", 4).alias("value"))
+
+
+@query("export_obj_faces", f"SELECT 'f ' || r || ' ' || (r + 1) || ' ' || (r + 2) AS line FROM (SELECT row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM {P1}) WHERE r <= n - 2")
+def export_obj_faces(spark, sf_dir):
+    """A strip of triangles over the suppliers, as Wavefront faces."""
+    x, v = training(points(spark, sf_dir, "supplier"))
+    n, path = len(x), shared_dir(spark)
+    I.Mesh(np.stack((x[:, 0], v, np.zeros(n)), 1), np.arange(n - 2)[:, None] + np.arange(3), False).export_obj(spark, path)
+    return spark.read.text(path).where("startswith(value, 'f')").select(F.col("value").alias("line"))
+
+
+@query("stack_rows", f"SELECT id, x, v FROM {P1} UNION ALL SELECT id, x, v FROM {PC}")
+def stack_rows(spark, sf_dir):
+    return G.stack_rows(points(spark, sf_dir, "supplier"), points(spark, sf_dir, "customer").select("id", "x", "v"))
+
+
+@query("stack_columns", f"SELECT a.id, a.x, a.v, b.y FROM {P1} a JOIN {PC} b USING (id)")
+def stack_columns(spark, sf_dir):
+    return G.stack_columns(points(spark, sf_dir, "supplier"), points(spark, sf_dir, "customer").select("id", "y"))
+
+
+@query("zip_sort", "SELECT vec_id AS id, (list_position(embedding, list_min(embedding)) - 1)::INTEGER AS first, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most FROM embeddings")
+def zip_sort(spark, sf_dir):
+    """Components sorted with their places."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    k, v = G.zip_sort("embedding", F.sequence(F.lit(0), F.size("embedding") - 1))
+    return e.select(F.col("vec_id").alias("id"), v[0].alias("first"), F.element_at(k, 1).cast("double").alias("least"), F.element_at(k, -1).cast("double").alias("most"))
+
+
+@query("bit_operations", "SELECT c_custkey::BIGINT AS id, bit_count(c_custkey::BIGINT)::INTEGER AS bits, CASE WHEN c_custkey <> 0 THEN round(log2(c_custkey::BIGINT & -c_custkey::BIGINT))::INTEGER END AS lowest, (c_custkey & (c_custkey - 1))::BIGINT AS rest FROM customer")
+def bit_operations(spark, sf_dir):
+    c = points(spark, sf_dir, "customer").select(F.col("id").cast("long").alias("id"))
+    return c.select("id", F.bit_count("id").cast("int").alias("bits"), Z.bit_peek(F.col("id")).cast("int").alias("lowest"), Z.bit_pop(F.col("id")).alias("rest"))
+
+
+@query("number_parse", "SELECT n_nationkey::INTEGER AS id, n_nationkey * 10.0::DOUBLE AS value, true AS none FROM nation")
+def number_parse(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.select(F.col("n_nationkey").cast("int").alias("id"), Z.to_double(F.concat(F.col("n_nationkey").cast("string"), F.lit("e1"))).alias("value"), F.isnan(Z.to_double(F.col("n_name"))).alias("none"))
+
+
+@query("error_norms", f"SELECT max(abs(v - 100 * x)) AS largest, round(sqrt(sum((v - 100 * x) ** 2)), 3) AS euclidean FROM {P1}")
+def error_norms(spark, sf_dir):
+    a, b = Z.error_columns(F.col("v"), 100 * F.col("x"))
+    return points(spark, sf_dir, "supplier").agg(a.alias("largest"), F.round(b, 3).alias("euclidean"))
+
+
+@query("lagrange_basis", f"SELECT id, (x - 2) * (x - 3) / 2 AS l0, -(x - 1) * (x - 3) + 0.0 AS l1, (x - 1) * (x - 2) / 2 AS l2 FROM {P1}")
+def lagrange_basis(spark, sf_dir):
+    basis = P.Lagrange(np.array([[1.0], [2.0], [3.0]]), 2).columns([F.col("x")])
+    return points(spark, sf_dir, "supplier").select("id", *(rounded(c, 6).alias(f"l{k}") for k, c in enumerate(basis)))
+
+
+@query("predicates", f"SELECT id, sign(1000 * y - 20 * x)::INTEGER AS side, (x * x + y * y < 2500)::INTEGER AS inside FROM {PC} WHERE x * x + y * y <> 2500")
+def predicates(spark, sf_dir):
+    p = (F.col("x"), F.col("y"))
+    c = points(spark, sf_dir, "customer").where("x * x + y * y <> 2500")
+    return c.select("id", F.signum(T.orient2d((0.0, 0.0), (1000.0, 20.0), p)).cast("int").alias("side"), (T.incircle((50.0, 0.0), (0.0, 50.0), (-50.0, 0.0), p) > 0).cast("int").alias("inside"))
+
+
+_UW = f"(SELECT id, u, w, sqrt(u * u + w * w) AS r FROM (SELECT id, x - 25.25 AS u, (y - 1000) / 100 AS w FROM {PP}))"
+_SLOPES = {
+    "bh3": "-1.1 / sqrt(r * r + 0.25)", "th3": "3.3 * sqrt(r * r + 0.25)", "bh2": "1.1 * (ln(r * r + 0.25) + 1)", "exp": "-3.3 / (20 * r) * exp(-3 * r / 20)",
+    "sph": "CASE WHEN r < 20 THEN 1.1 * (-1.5 + 1.5 * r * r / 400) / (20 * r) ELSE 0 END", "gc9": "-9.9 / 400 * (1 + r * r / 400) ** -5.5",
+}
+
+
+def _gradient(name: str):
+    @query(f"rbf_gradients_{name}", f"SELECT id, round({_SLOPES[name]} * u, 6) + 0.0 AS gx, round({_SLOPES[name]} * w, 6) + 0.0 AS gy FROM {_UW}")
+    def run(spark, sf_dir):
+        gx, gy = Rbf(name, (1.1, 0.5 if KERNELS[name].order else 20.0)).gradient_columns(F.col("x") - 25.25, (F.col("y") - 1000) / 100)
+        return points(spark, sf_dir, "part").select("id", rounded(gx, 6).alias("gx"), rounded(gy, 6).alias("gy"))
+
+
+for _name in _SLOPES:
+    _gradient(_name)
+
+_E = "1.1 * exp(-3 * (u * u + w * w) / 400)"
+
+
+@query("rbf_hessians", f"SELECT id, round({_E} * (36 * u * u / 160000 - 6 / 400.0), 8) + 0.0 AS hxx, round({_E} * 36 * u * w / 160000, 8) + 0.0 AS hxy, round({_E} * (36 * w * w / 160000 - 6 / 400.0), 8) + 0.0 AS hyy FROM {_UW}")
+def rbf_hessians(spark, sf_dir):
+    (xx, xy), (_, yy) = Rbf("gau", (1.1, 20.0)).hessian_columns(F.col("x") - 25.25, (F.col("y") - 1000) / 100)
+    return points(spark, sf_dir, "part").select("id", *(rounded(c, 8).alias(n) for n, c in (("hxx", xx), ("hxy", xy), ("hyy", yy))))
+
+
+# ---- sums over many centres ----------------------------------------------------------------------
+@query("compact_sum_sph", f"SELECT c.id, round(coalesce(sum(CASE WHEN abs(c.x - p.x) < 19.7 THEN p.v * (1 - 1.5 * abs(c.x - p.x) / 19.7 + 0.5 * (abs(c.x - p.x) / 19.7) ** 3) END), 0) + 1 + 2 * c.x, 3) + 0.0 AS value FROM {PC} c, {P1} p GROUP BY c.id, c.x")
+def compact_sum_sph(spark, sf_dir):
+    """Customers near and far from the suppliers, whose balances are the weights; a linear tail. A range of 20 would put
+    sums on the ties of rounding."""
+    at = points(spark, sf_dir, "customer").select("id", "x")
+    return compact_sum(Model(Rbf("sph", (1.0, 19.7)), 1), points(spark, sf_dir, "supplier"), at, "v", [1.0, 2.0]).select("id", rounded("value", 3).alias("value"))
+
+
+@query("cluster_sum", f"SELECT n.n_nationkey AS id, round(sum(c.v / 1e6 * sqrt((n.n_nationkey * 40 + 0.5 - c.x) ** 2 + (n.n_regionkey * 5 + 0.5 - c.y) ** 2)) / -1, 3) + 0.0 AS value FROM nation n, {PC} c GROUP BY 1")
+def cluster_sum(spark, sf_dir):
+    """Values within 1e-6, from boxes of centres where there are many."""
+    x, v = training(points(spark, sf_dir, "customer"), on=["x", "y"])
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    at = n.select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") * 40 + 0.5).alias("x"), (F.col("n_regionkey") * 5 + 0.5).alias("y"))
+    f = Interpolant(Model(Rbf("bh3"), 0), x, np.zeros((0, 2)), np.append(v / 1e6, 0.0))
+    return f.evaluate(at, accuracy=1e-6).select("id", rounded("value", 3).alias("value"))
+
+
+@query("saddle_product", f"SELECT a.id, round(sum(b.v * exp(-0.6 * abs(a.x - b.x))) + 0.1 * any_value(a.v), 3) + 0.0 AS value FROM {P1} a, {P1} b GROUP BY a.id")
+def saddle_product(spark, sf_dir):
+    """The operator of a fit, its rows worked out by executors, applied to the balances."""
+    p = points(spark, sf_dir, "supplier")
+    x, v = training(p)
+    got = saddle_map(Model(Rbf("exp", (1.0, 5.0)), -1, 0.1), x, np.zeros((0, 1)), spark)(v)
+    ids = [r[0] for r in p.orderBy("id").select("id").collect()]
+    return spark.createDataFrame([(int(i), float(t)) for i, t in zip(ids, got, strict=True)], "id long, t double").select("id", rounded("t", 3).alias("value"))
+
+
+# ---- more of point clouds ------------------------------------------------------------------------
+_LEAST = "greatest((var_pop(x) + var_pop(y)) / 2 - sqrt(((var_pop(x) - var_pop(y)) / 2) ** 2 + covar_pop(x, y) ** 2), 0)"
+
+
+@query("plane_errors_flat", f"SELECT v, round(sqrt({_LEAST}), 7) AS line_error, (round(sqrt({_LEAST}), 7) * 0 + 1.0)::DOUBLE AS nz FROM {P3} GROUP BY v")
+def plane_errors_flat(spark, sf_dir):
+    """Points with their third coordinate set to 0: a line's error is the smaller spread in the plane, the normal is the axis."""
+    e = C.plane_errors(points(spark, sf_dir, "embeddings").withColumn("z", F.lit(0.0)), ["v"])
+    return e.select("v", F.round("line_error", 7).alias("line_error"), F.round(F.abs("nz"), 6).alias("nz"))
+
+
+@query("normals_radius_patch", f"SELECT a.id, CASE WHEN count(*) < 3 THEN 0.0 ELSE round(1 / {_PLANE!r}, 6) END::DOUBLE AS nz FROM {P3} a JOIN {P3} b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (0.5 * (a.x - b.x) - 0.25 * (a.y - b.y)) ** 2) <= 0.1 GROUP BY a.id")
+def normals_radius_patch(spark, sf_dir):
+    n = C.orient_toward_direction(C.normals_radius(_patch(spark, sf_dir), [0.05, 0.1]), (0, 0, 1))
+    return n.select("id", rounded("nz", 6).alias("nz"))
+
+
+@query("thin_normals", "SELECT count(*)::BIGINT AS n, round(0.25 * count(*))::BIGINT AS kept FROM embeddings")
+def thin_normals(spark, sf_dir):
+    p = points(spark, sf_dir, "embeddings").withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
+    return C.thin_normals(p, 0.25).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nz") > 0).alias("kept"))
