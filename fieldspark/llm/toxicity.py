@@ -5,9 +5,11 @@ punctuation, digits, words in capitals, and words that match the lexicon only on
 inside) is undone. The lexicon is learned from a bounded sample of labelled rows, beside a short fixed list; features of a training
 row always come from a lexicon that didn't see the row (cross-fitting), and so do the scores that the isotonic step is fitted on.
 
-Bound (parameter): most sampled labelled rows. A null text counts as empty; empty texts get the score of their features. Without
-labelled rows of both kinds every score is the share of label 1 (0 if there is none). Repeated rows, ties and other columns are
-harmless; an empty table gives an empty result.
+Bounds (parameters): most labelled rows and most_bytes of their text are learned from, in the order of a hash of doc_id; a doc_id whose
+rows no longer fit is left out. Where labels of a doc_id clash, it counts as toxic. Very long texts are scored whole. A null text counts
+as empty; empty texts get the score of their features. Without labelled rows of both kinds every score is the share of label 1 (0 if there
+is none). Repeated rows are learned from and scored each. Tied scores share a calibrated value. Other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, slices
+from .common import SPACE, buffers, slices, written
 
 RESULT = "doc_id bigint, score double"
 ROWS = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -233,16 +235,33 @@ def fit(texts: list[str], y: np.ndarray, folds: int = 4) -> Scorer | float:
     return Scorer(learn(texts, y), Trees().fit(x, y), *isotonic(out, y))
 
 
-def classify(docs: DataFrame, labelled: DataFrame, most: int = 8000) -> DataFrame:
-    """doc_id, score. labelled: doc_id, toxic, of documents in docs; rows with a null are left out, at most so many are learned from."""
+def sample(docs: DataFrame, labelled: DataFrame, most: int, most_bytes: int) -> pa.Table:
+    """u, doc_id, toxic, text of the labelled rows that are learned from, in one order."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labelled = labelled.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n = labelled.count()
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
     chosen = labelled.withColumn("u", u).where(F.col("u") < int(min(1.0, 1.2 * most / max(n, 1)) * (1 << 30))).orderBy("u", "doc_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("u", "doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by([("u", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    shared = spark.sparkContext.broadcast(fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int)))  # bounded by most
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("u", "doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))  # most rows at most
+    rows = written(rows, spark, "labelled")
+    per_id = rows.groupBy("u", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy("u", "doc_id").collect()
+    out, n, size = [], 0, 0
+    for r in per_id:
+        if n + r.n > most or size + r.size > most_bytes:
+            out.append((r.doc_id,))
+        else:
+            n, size = n + r.n, size + r.size
+    if out:
+        rows = rows.join(F.broadcast(spark.createDataFrame(out, "doc_id bigint")), "doc_id", "left_anti").select(*rows.columns)  # of chosen ids
+    return rows.toArrow().sort_by([("u", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+
+
+def classify(docs: DataFrame, labelled: DataFrame, most: int = 8000, most_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, score. labelled: doc_id, toxic, of documents in docs; rows with a null are left out. The bounds are those of sample()."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = sample(docs, labelled, most, most_bytes)
+    shared = spark.sparkContext.broadcast(fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), int)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
