@@ -13,7 +13,7 @@ documents, gathered by two exchanges of sorted blobs:
 A context that training never saw leaves the mixture to the depths that it did see. Words go the same way, with plain counts,
 for the add-one unigram base score. No table of the corpus ever goes to the driver or to all executors.
 
-Nulls: a null text is empty and has one token, its end. A null doc_id belongs to the last block, and is held out or not as the
+Nulls: a null text is empty and has one token, its end. A null doc_id comes after all others, and is held out or not as the
 caller says. Repeated rows count as often as they occur. Without training documents every bit has probability 1/2, and the base
 is that of N = V = 0. An empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U, buffers, joined, mix, pack, pack_rows, slices, unpack, unpack_rows, word_hashes, words, written
-from .substring_dedup import _ids, layout
+from .substring_dedup import Blocks, layout
 
 DEPTH = 6
 END = 10  # never inside a word
@@ -110,9 +110,8 @@ def _shard(kind: str, keys: np.ndarray, bits: int, depth: int) -> np.ndarray:
     return (mix(top) >> U(64 - bits)).astype(np.int64)
 
 
-def gather(docs: DataFrame, bounds: list[int], bits: int, depth: int) -> DataFrame:
+def gather(docs: DataFrame, blocks: Blocks, bits: int, depth: int) -> DataFrame:
     """Distinct keys and words of each block with their training counts, by shard."""
-    cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
@@ -136,7 +135,7 @@ def gather(docs: DataFrame, bounds: list[int], bits: int, depth: int) -> DataFra
         for b in slices(batches):
             key, to, h, at = prepare(b.column("text"), depth)
             train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            of = np.searchsorted(cuts, _ids(b), "left")
+            of = blocks.of(b)
             for block in np.unique(of):
                 for kind, k, ptr in (("gram", key, to), ("word", h, at)):
                     n = np.diff(ptr)
@@ -287,9 +286,9 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 12 << 20) -> D
     """docs: doc_id, text, train. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score, code_length (bits a byte)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
-    bounds, buckets, _ = layout(docs, block_bytes, 1)
+    blocks, buckets, _ = layout(docs, block_bytes, 1)
     bits = buckets.bit_length() - 1
-    state = gather(docs, bounds, bits, depth).groupBy("kind", "shard").applyInArrow(_weigh(depth), STATE)
+    state = gather(docs, blocks, bits, depth).groupBy("kind", "shard").applyInArrow(_weigh(depth), STATE)
     state = written(state, spark, "state", "snappy")
     n, v = state.where("kind = 'total'").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
     upper = spark.sparkContext.broadcast(Upper([tuple(r) for r in state.where("kind = 'top'").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()]))
@@ -303,15 +302,13 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 12 << 20) -> D
                 logp = np.empty(len(keys), np.float32)
                 for at in range(0, len(keys), 200_000):
                     logp[at : at + 200_000] = forest.log_p(keys[at : at + 200_000], upper.value)
-                blocks = np.array(asked.column("block").to_pylist())
-                for block in np.unique(blocks[1:]):
-                    own = np.unique(np.concatenate([unpack(asked.column("blob")[int(j)].as_py())[0] for j in np.flatnonzero(blocks == block)]))
+                of = np.array(asked.column("block").to_pylist())
+                for block in np.unique(of[1:]):
+                    own = np.unique(np.concatenate([unpack(asked.column("blob")[int(j)].as_py())[0] for j in np.flatnonzero(of == block)]))
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(("gram", b.column("shard")[i].as_py(), int(block), pack(own, logp[np.searchsorted(keys, own)])), SENT_ROWS.types, strict=True)], schema=SENT_ROWS)
 
     told = state.where("kind = 'shard'").select("shard", "blob").repartition(1 << bits, "shard").mapInArrow(answer, SENT)
     told = told.unionByName(state.where("kind = 'word'").select("kind", "shard", "block", "blob"))
-    cuts = np.array(bounds, np.int64)
-
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         size = 0
@@ -322,7 +319,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 12 << 20) -> D
             held.clear()
 
         for b in slices(batches):
-            of = np.searchsorted(cuts, _ids(b), "left")
+            of = blocks.of(b)
             for block in np.unique(of):
                 held.setdefault(int(block), []).append(b.filter(pa.array(of == block)))
             size += b.nbytes

@@ -11,11 +11,13 @@ bounded amount of text. Each map task drops repeats inside a block first, so a p
 reaches a bucket once for each block, and no task collects a key's rows.
 
 Nulls: a null text has no words (n_words 0, kept_text ""). A null doc_id counts as later than any other. Rows that share a
-doc_id keep the order of their texts. Columns other than doc_id and text are ignored, whatever their names.
+doc_id keep the order of their texts, and are cut into blocks by the beginnings of these. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,25 +30,67 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import U, buffers, covered, inside, joined, pack, pack_rows, shared_dir, slices, unpack, unpack_rows, window_hashes, word_hashes, words
 
 LAST = (1 << 63) - 1
+#: Bytes of a text that place it among the rows of its doc_id, and the most blocks that one doc_id is cut into.
+BEGINNING, MOST_PIECES = 32, 10_000
 OUT = "kind string, bucket int, block int, blob binary"
 ROWS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
 RESULT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def layout(docs: DataFrame, block_bytes: int, batches: int) -> tuple[list[int], int, int]:
-    """Upper doc_ids of the blocks, the number of buckets, the number of blocks.
+class Blocks:
+    """Ranges of rows in the order of doc_id and text: the upper doc_ids, and for doc_ids that fill more than one block the beginnings of
+    texts that part them. Null comes last."""
+
+    def __init__(self, bounds: list[int], parts: dict[int, list[bytes]]):
+        self.bounds, self.parts = np.array(bounds, np.int64), parts
+        more = np.zeros(len(bounds) + 2, np.int64)
+        for doc_id, p in parts.items():
+            more[np.searchsorted(self.bounds, doc_id, "left") + 1] += len(p)
+        self.first = (np.arange(len(more)) + np.cumsum(more))[:-1]
+
+    def of(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The block of each row (doc_id, text)."""
+        ids = _ids(batch)
+        out = self.first[np.searchsorted(self.bounds, ids, "left")]
+        for k in np.flatnonzero(np.isin(ids, list(self.parts))) if self.parts else ():
+            p, text = self.parts[int(ids[k])], batch.column("text")[int(k)].as_py()
+            out[k] += len(p) if text is None else bisect.bisect_left(p, text[:BEGINNING].encode()[:BEGINNING])
+        return out
+
+
+def _parts(docs: DataFrame, pieces: dict[int, int], rows: int) -> dict[int, list[bytes]]:
+    """Beginnings of texts that cut the rows of each doc_id into about so many pieces; texts that begin alike stay together."""
+    spark = docs.sparkSession
+    hot = F.broadcast(spark.createDataFrame([(i,) for i in pieces], "hot bigint"))  # doc_ids that fill blocks: fewer than the blocks
+    mine = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("hot"), F.substring(F.col("text").cast("binary"), 1, BEGINNING).alias("start"))
+    rate = min(1.0, 40 * sum(pieces.values()) / max(rows, 1))
+    seen: dict[int, list[bytes]] = {}
+    for r in mine.where((F.rand(7) < rate) & F.col("start").isNotNull()).join(hot, "hot").collect():  # about 40 of each piece
+        seen.setdefault(r.hot, []).append(bytes(r.start))
+    out = {i: sorted({sorted(s)[len(s) * k // pieces[i]] for k in range(1, pieces[i])}) for i, s in seen.items()}
+    return {i: p for i, p in out.items() if p}
+
+
+def layout(docs: DataFrame, block_bytes: int, batches: int) -> tuple[Blocks, int, int]:
+    """The blocks, the number of buckets, the number of ranges of doc_id.
 
     One pass over ids and lengths. The bounds come from a quantile sketch: uneven blocks cost balance, never rows. Blocks keep their
     size up to a million of them, whose bounds the driver can hold.
     """
-    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    none = F.col("doc_id").isNull()
+    n, size, nulls, theirs = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text")), F.count(F.when(none, 1)), F.sum(F.when(none, F.octet_length("text")))).first()
     blocks = int(min(1_000_000, max(batches, (size or 0) // block_bytes + 1)))
     steps = [k / blocks for k in range(1, blocks)]
     qs = docs.agg(F.percentile_approx("doc_id", steps, max(50_000, 4 * blocks))).first()[0] if steps and n else []
-    bounds = sorted(set(qs or []))
+    often = Counter(q for q in qs or [] if q < LAST)
+    bounds = sorted(often)
+    pieces = {i: min(k, MOST_PIECES) for i, k in often.items() if k > 1}
+    if nulls and (theirs or 0) > block_bytes:
+        pieces[LAST] = min(int(theirs // block_bytes) + 1, MOST_PIECES)
+    held = int(n * sum(often[i] for i in pieces if i < LAST) / blocks) + nulls
     buckets = 1 << max(6, int((size or 0) // (24 << 20)).bit_length())
-    return bounds, buckets, len(bounds) + 1
+    return Blocks(bounds, _parts(docs, pieces, held) if pieces else {}), buckets, len(bounds) + 1
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -81,9 +125,8 @@ def _cut(h: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     return [(int(k), slice(int(at[k]), int(at[k + 1]))) for k in np.flatnonzero(np.diff(at))]
 
 
-def fingerprints(docs: DataFrame, bounds: list[int], bits: int, window: int) -> DataFrame:
+def fingerprints(docs: DataFrame, blocks: Blocks, bits: int, window: int) -> DataFrame:
     """Blobs of the distinct window fingerprints of each block, by bucket."""
-    cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -99,7 +142,7 @@ def fingerprints(docs: DataFrame, bounds: list[int], bits: int, window: int) ->
 
         for b in slices(batches):
             ok, h, c, ptr = _prints(b.column("text"), window)
-            of = np.searchsorted(cuts, _ids(b), "left")[np.searchsorted(ptr, ok, "right") - 1]
+            of = blocks.of(b)[np.searchsorted(ptr, ok, "right") - 1]
             for block in np.unique(of):
                 held.setdefault(int(block), []).append((h[of == block], c[of == block]))
             size += len(ok)
@@ -237,9 +280,8 @@ def _resolve(window: int, schema: pa.Schema):
     return run
 
 
-def blocks_of(docs: DataFrame, bounds: list[int], carry: tuple[str, ...] = ()) -> DataFrame:
+def blocks_of(docs: DataFrame, blocks: Blocks, carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents by block, as compressed Arrow rows: a task's documents of a block are one value."""
-    cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -252,7 +294,7 @@ def blocks_of(docs: DataFrame, bounds: list[int], carry: tuple[str, ...] = ()) -
             held.clear()
 
         for b in slices(batches):
-            of = np.searchsorted(cuts, _ids(b), "left")
+            of = blocks.of(b)
             for block in np.unique(of):
                 held.setdefault(int(block), []).append(b.filter(pa.array(of == block)))
             size += b.nbytes
@@ -270,7 +312,8 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes
     carry: further columns of docs that the result keeps (text: as it was). The documents go through the index in so many batches, as they would over days. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounds, buckets, n = layout(docs, block_bytes, batches)
+    blocks, buckets, n = layout(docs, block_bytes, batches)
+    bounds = blocks.bounds.tolist()
     bits = buckets.bit_length() - 1
     index = FingerprintIndex(spark, bits, max_runs)
     batches = min(batches, n)
@@ -281,8 +324,8 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes
             part = part.where((F.col("doc_id") > bounds[lo - 1]) | F.col("doc_id").isNull()) if hi == n else part.where(F.col("doc_id") > bounds[lo - 1])
         if hi < n:
             part = part.where(F.col("doc_id") <= bounds[hi - 1])
-        index.add(fingerprints(part, bounds, bits, window), keep=g < batches - 1)
+        index.add(fingerprints(part, blocks, bits, window), keep=g < batches - 1)
     extra = docs.select(*carry).schema
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
     rows = pa.schema([*RESULT_ROWS, *to_arrow_schema(extra)])
-    return blocks_of(docs, bounds, carry).groupBy("block").cogroup(index.found().groupBy("block")).applyInArrow(_resolve(window, rows), RESULT + kinds)
+    return blocks_of(docs, blocks, carry).groupBy("block").cogroup(index.found().groupBy("block")).applyInArrow(_resolve(window, rows), RESULT + kinds)

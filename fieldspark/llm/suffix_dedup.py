@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, buffers, covered, inside, mix, pack, slices, unpack, unpack_rows, window_hashes, word_hashes, words, written
-from .substring_dedup import _cut, _ids, blocks_of, layout
+from .substring_dedup import _cut, blocks_of, layout
 
 GRAM, SPAN = 8, 20
 SENT = "bucket int, block int, blob binary"
@@ -222,8 +222,8 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20, most_
     if least < SPAN + GRAM:
         raise ValueError(f"least must be {SPAN + GRAM} words or more")
     key = least - SPAN + 1
-    bounds, buckets, _ = layout(docs, block_bytes, 1)
-    bits, cuts = buckets.bit_length() - 1, np.array(bounds, np.int64)
+    blocks, buckets, _ = layout(docs, block_bytes, 1)
+    bits = buckets.bit_length() - 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
 
@@ -256,7 +256,7 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20, most_
         for b in slices(batches):
             _, _, ptr, at, rows = suffixes(b)
             row = np.searchsorted(ptr, at, "right") - 1
-            of = np.searchsorted(cuts, _ids(b), "left")[row]
+            of = blocks.of(b)[row]
             for block in np.unique(of):
                 m = of == block
                 send.add(int(block), rows[m], row[m] + doc)
@@ -299,6 +299,6 @@ def repeated(docs: DataFrame, least: int = 50, block_bytes: int = 8 << 20, most_
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(RESULT_ROWS.types)], schema=RESULT_ROWS)
 
     told = written(texts.mapInArrow(first, SENT).groupBy("bucket").applyInArrow(_suffix_array(key), SENT), spark, "suffixes", "snappy")
-    sent = blocks_of(texts, bounds).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(extend, SENT)
+    sent = blocks_of(texts, blocks).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(extend, SENT)
     told = written(sent.groupBy("bucket").applyInArrow(_neighbours, SENT), spark, "windows", "snappy")
-    return blocks_of(texts, bounds).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(mark, RESULT)
+    return blocks_of(texts, blocks).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(mark, RESULT)

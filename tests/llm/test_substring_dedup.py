@@ -69,3 +69,19 @@ def test_false_64_bit_match_is_told_apart(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert op.deduplicate(df).collect() == []
+
+
+def test_rows_that_share_a_doc_id_are_cut(spark):
+    r = random.Random(5)
+    passages = [" ".join(f"p{k}x{j}" for j in range(30)) for k in range(4)]
+    text = lambda: f"{r.random()} é {r.choice(passages)} {r.random()} {r.choice(passages)}"
+    rows = [(None, text()) for _ in range(60)] + [(7, text()) for _ in range(60)] + [(i, text()) for i in range(30)] + [(None, None), (7, None), (7, ""), (None, passages[0])] + [(9, text())] * 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    blocks, _, ranges = op.layout(df, 1500, 1)
+    assert set(blocks.parts) >= {7, op.LAST} and blocks.first[-1] > ranges
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    place = [((1 << 63) if i is None else i, t is None, t or "", b) for i, t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blocks.of(batch).tolist())]
+    place.sort()
+    assert [p[3] for p in place] == sorted(p[3] for p in place)  # blocks follow the order of rows
+    assert len({p[3] for p in place if p[0] == 7}) > 5 and len({p[3] for p in place if p[0] > op.LAST}) > 5
+    check(spark, rows, block_bytes=1500, batches=3)
