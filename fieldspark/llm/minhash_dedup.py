@@ -36,8 +36,8 @@ from .components import components
 WORDS = 5
 COORDINATES, PREFIX = 128, 14
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
-PRINTS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary"
-PRINT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+PRINTS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sig binary, print bigint"
+PRINT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary()), ("print", pa.int64())])
 PAIRS = "a bigint, b bigint"
 PAIR_ROWS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -68,16 +68,16 @@ def prints(docs: DataFrame) -> DataFrame:
         place = np.arange(PREFIX, dtype=U) << U(32)
         for b in slices(batches):
             rows = []
-            for doc_id, x in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text")), strict=True):
+            for doc_id, own, x in zip(b.column("doc_id").to_pylist(), b.column("print").to_pylist(), shingle_sets(b.column("text")), strict=True):
                 if len(x):
                     s = signature(x)
                     keys = (s[:PREFIX].astype(U) | place).astype(np.int64)
-                    rows.append((doc_id, len(x), int(x.sum().astype(np.int64)), int(mix(x).sum().astype(np.int64)), keys, s.tobytes()))
+                    rows.append((doc_id, len(x), int(x.sum().astype(np.int64)), int(mix(x).sum().astype(np.int64)), keys, s.tobytes(), own))
                 else:
-                    rows.append((doc_id, 0, 0, 0, [], b""))
+                    rows.append((doc_id, 0, 0, 0, [], b"", own))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PRINT_ROWS.types, strict=True)], schema=PRINT_ROWS)
 
-    return docs.mapInArrow(run, PRINTS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, PRINTS)
 
 
 def posted(sets: DataFrame, most_list: int, most_shingles: int) -> DataFrame:
@@ -291,8 +291,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, most_broadcast: int) -> DataFr
     return out.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, near: int = 90, least: int = 75, most_list: int = 4096, most_shingles: int = 4_000_000, most_broadcast: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs. near, least: matching coordinates, of COORDINATES."""
+def near_duplicates(docs: DataFrame, near: int = 90, least: int = 75, most_list: int = 4096, most_shingles: int = 4_000_000, most_broadcast: int = 2_000_000, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs. near, least: matching coordinates, of COORDINATES.
+
+    by_text: also print, xxhash64 of the text, which tells rows apart that share a doc_id.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(prints(docs), spark, "prints")
@@ -316,9 +319,10 @@ def near_duplicates(docs: DataFrame, near: int = 90, least: int = 75, most_list:
         lows = named.groupBy("component").agg(F.min("low").alias("smallest"))
         named = named.join(lows, "component").withColumn("component", F.col("smallest"))
     named = named.select("n_shingles", "d1", "d2", "component")
-    out = own.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
+    out = own.select("doc_id", "n_shingles", "d1", "d2", "print").join(named, ["n_shingles", "d1", "d2"], "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", whole.alias("component_id"), "print").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *["print"] * by_text)
 
 
 def _texts_of_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
