@@ -1,12 +1,15 @@
 """Training-data pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents. Rows with a null doc_id pass the filters; a stage drops all rows of a doc_id that it rejects.
+the last return the columns of documents; other columns go. Rows are judged one by one, by doc_id and text: rows that share a doc_id don't
+share a verdict, repeated rows do. Rows with a null doc_id are judged as others are, but for near_dedup, where they are no one's copies and stay.
+Null and empty texts stay in every stage (one token in the last). Very long texts are read whole. Ties at a threshold stay. Without labels or
+benchmark items nothing is rejected for them; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.llm import decontamination, minhash_dedup, packing, quality, substring_dedup
@@ -15,19 +18,26 @@ from fieldspark.llm.common import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _print() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """docs but the rows of gone (doc_id, print)."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print")).distinct()
+    docs = docs.select(*COLUMNS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (_print() == F.col("gone_print")), "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return _without(docs, quality.classify(docs, trusted).where("rejected"))
+    return _without(docs, quality.classify(docs, trusted, by_text=True).where("rejected"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and one row of those that repeat its doc_id and text."""
-    out = _without(docs, minhash_dedup.near_duplicates(docs).where("not kept"))
+    out = _without(docs, minhash_dedup.near_duplicates(docs, by_text=True).where("not kept"))
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return out
@@ -45,7 +55,8 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark leaks."""
-    return _without(docs, decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("doc_id is not null"))
+    rows = docs.select(F.struct("doc_id", _print().alias("print")).alias("doc_id"), "text")
+    return _without(docs, decontamination.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
