@@ -6,8 +6,10 @@ KT block probability depends on counts alone, the weighted probabilities follow
 documents, gathered by two exchanges of sorted blobs:
 
 1. Every block of documents (a doc_id range with a bounded amount of text) sends its distinct (context, byte) keys with their
-   training counts to the shard of the two nearest context bytes, which holds whole subtrees from depth 2 on. The shard adds up
-   counts, weighs its subtrees and reports sums for depths 0 and 1: at most 65,535 nodes, added up by Spark and sent to all.
+   training counts to the shard of the two nearest context bytes, which holds whole subtrees from depth 2 on; the commonest pairs
+   (MOST_SPLIT at most, found in a sample) are cut by the third byte, with subtrees from depth 3 on. The shard adds up counts, weighs its
+   subtrees and reports sums for the depths above: at most 65,535 + 255 * MOST_SPLIT nodes, added up by Spark and sent to all. Which pairs
+   are cut changes no result.
 2. With those, each shard answers every block with the log probability of the block's keys; the block then scores its texts.
 
 A context that training never saw leaves the mixture to the depths that it did see. Words go the same way, with plain counts,
@@ -31,6 +33,7 @@ from .common import LOWER, U, buffers, joined, mix, pack, pack_rows, slices, unp
 from .substring_dedup import Blocks, layout
 
 DEPTH = 6
+MOST_SPLIT = 256
 END = 10  # never inside a word
 END_WORD = U(0x5851F42D4C957F2D)
 SENT = "kind string, shard int, block int, blob binary"
@@ -105,12 +108,40 @@ def _look(keys: np.ndarray, values: np.ndarray, query: np.ndarray) -> np.ndarray
     return out
 
 
-def _shard(kind: str, keys: np.ndarray, bits: int, depth: int) -> np.ndarray:
-    top = keys >> U(8 * (depth - 1)) if kind == "gram" else keys
+def _shard(kind: str, keys: np.ndarray, bits: int, depth: int, split: np.ndarray) -> np.ndarray:
+    top = keys
+    if kind == "gram":
+        top, deep = keys >> U(8 * (depth - 1)), _deep(keys, depth, split)
+        top[deep] = keys[deep] >> U(8 * (depth - 2)) | U(1 << 63)
     return (mix(top) >> U(64 - bits)).astype(np.int64)
 
 
-def gather(docs: DataFrame, blocks: Blocks, bits: int, depth: int) -> DataFrame:
+def _deep(keys: np.ndarray, depth: int, split: np.ndarray) -> np.ndarray:
+    """Whether a key's two nearest bytes are a pair that is cut by the third byte."""
+    hot = np.zeros(1 << 16, bool)
+    hot[split] = True
+    return hot[(keys >> U(8 * (depth - 1))).astype(np.int64)]
+
+
+def hot_pairs(docs: DataFrame, bits: int, depth: int, sample_bytes: int = 4 << 20) -> np.ndarray:
+    """Pairs of nearest bytes that hold more keys than a quarter of a shard's share, in a sample of about so many bytes."""
+    if depth < 3:
+        return np.zeros(0, np.int64)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n = np.bincount((np.unique(prepare(b.column("text"), depth)[0]) >> U(8 * (depth - 1))).astype(np.int64))
+            pair = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(n[pair], pa.int64())], names=["pair", "n"])
+
+    n = docs.where(F.rand(11) < sample_bytes / size).select("text").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    n = {r.pair: r.n for r in n.collect()}  # 65,536 pairs at most
+    least = sum(n.values()) / (4 << bits)
+    return np.array(sorted(sorted((p for p in n if n[p] > least), key=lambda p: (-n[p], p))[:MOST_SPLIT]), np.int64)
+
+
+def gather(docs: DataFrame, blocks: Blocks, bits: int, depth: int, split: np.ndarray) -> DataFrame:
     """Distinct keys and words of each block with their training counts, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +156,7 @@ def gather(docs: DataFrame, blocks: Blocks, bits: int, depth: int) -> DataFrame:
         def flush():
             shrink()
             for (kind, block), [(keys, counts)] in sorted(held.items()):
-                of = _shard(kind, keys, bits, depth)
+                of = _shard(kind, keys, bits, depth, split)
                 order = np.argsort(of, kind="stable")
                 at = np.searchsorted(of[order], np.arange((1 << bits) + 1))
                 rows = [(kind, s, block, pack(keys[order[at[s] : at[s + 1]]], counts[order[at[s] : at[s + 1]]])) for s in range(1 << bits) if at[s] < at[s + 1]]
@@ -215,23 +246,24 @@ class Forest:
 
 
 class Upper:
-    """Depths 0 and 1, from what the shards report: at most 255 + 65,280 nodes."""
+    """Depths 0 and 1, and depth 2 below the pairs that are cut, from what the shards report (depth, node, zeros, ones, sum of the children's
+    log weighted probabilities): at most 255 + 65,280 + 255 * MOST_SPLIT nodes."""
 
-    def __init__(self, rows: list[tuple[int, int, int, float]]):
+    def __init__(self, rows: list[tuple[int, int, int, int, float]]):
         rows = sorted(rows)
-        u = np.array([r[0] for r in rows], U)
-        n0, n1, s = (np.array([r[k] for r in rows], float) for k in (1, 2, 3))
         self.nodes = {}
-        for d in (1, 0):
-            if d == 0:
-                u, inv = np.unique(u & U(255), return_inverse=True)
-                n0, n1, s = (np.bincount(inv, x, len(u)) for x in (n0, n1, pw))
+        u, n0, n1, pw = np.zeros(0, U), *np.zeros((3, 0))
+        for d in (2, 1, 0):
+            own = [r[1:] for r in rows if r[0] == d]
+            up = np.concatenate((((u >> U(16)) << U(8)) | (u & U(255)), np.array([r[0] for r in own], U)))
+            u, inv = np.unique(up, return_inverse=True)
+            n0, n1, s = (np.bincount(inv, np.concatenate((x, np.array([r[k] for r in own], float))), len(u)) for k, x in ((1, n0), (2, n1), (3, pw)))
             kt = kt_block(n0, n1)
             pw = np.logaddexp(kt, s) - np.log(2)
             self.nodes[d] = (u, n0, n1, np.exp(kt - np.log(2) - pw))
 
 
-def _weigh(depth: int):
+def _weigh(depth: int, split: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
         parts = [unpack(x.as_py(), "u4") for x in table.column("blob")]
@@ -239,12 +271,10 @@ def _weigh(depth: int):
         keys, counts = _sum(*(np.concatenate(x) for x in zip(*((k, c.astype(np.int64)) for k, c in parts), strict=True)))
         rows = []
         if kind == "gram":
-            rows = [("top", shard, 0, None, *x) for x in Forest(keys, counts, 2, depth).top()]
-            asked = pa.table({"block": pa.array([-1, *blocks], pa.int32()), "blob": pa.array([pack(keys, counts), *(pack(k) for k, _ in parts)], pa.binary())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, asked.schema) as w:
-                w.write(asked)
-            rows.append(("shard", shard, 0, sink.getvalue().to_pybytes(), None, None, None, None))
+            for low, m in _lows(keys, depth, split):
+                rows += [("top", shard, low - 1, None, *x) for x in Forest(keys[m], counts[m], low, depth).top()]
+            rows.append(("keys", shard, -1, pack(keys, counts), None, None, None, None))
+            rows += [("keys", shard, int(block), pack(k), None, None, None, None) for block, (k, _) in zip(blocks, parts, strict=True)]
         else:
             for block in np.unique(blocks):
                 own = np.unique(np.concatenate([parts[i][0] for i in np.flatnonzero(blocks == block)]))
@@ -255,6 +285,12 @@ def _weigh(depth: int):
     return run
 
 
+def _lows(keys: np.ndarray, depth: int, split: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The depth from which a shard holds subtrees, with the places of its keys."""
+    deep = _deep(keys, depth, split)
+    return [(2, np.flatnonzero(~deep)), *[(3, np.flatnonzero(deep))] * bool(len(split))]
+
+
 def _score(depth: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -282,32 +318,36 @@ def _score(depth: int):
     return run
 
 
-def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 12 << 20) -> DataFrame:
-    """docs: doc_id, text, train. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score, code_length (bits a byte)."""
+def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = 12 << 20, split: list[int] | None = None) -> DataFrame:
+    """docs: doc_id, text, train. Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score, code_length (bits a byte).
+
+    split: pairs of nearest bytes (the nearest times 256, and the next) that are cut; by default those of hot_pairs().
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("train").cast("boolean"), F.lit(False)).alias("train"))
     blocks, buckets, _ = layout(docs, block_bytes, 1)
     bits = buckets.bit_length() - 1
-    state = gather(docs, blocks, bits, depth).groupBy("kind", "shard").applyInArrow(_weigh(depth), STATE)
+    cut = hot_pairs(docs, bits, depth) if split is None else np.array(split, np.int64)
+    state = gather(docs, blocks, bits, depth, cut).groupBy("kind", "shard").applyInArrow(_weigh(depth, cut), STATE)
     state = written(state, spark, "state", "snappy")
     n, v = state.where("kind = 'total'").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
-    upper = spark.sparkContext.broadcast(Upper([tuple(r) for r in state.where("kind = 'top'").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()]))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                asked = pa.ipc.open_stream(b.column("blob")[i].as_buffer()).read_all()
-                keys, counts = unpack(asked.column("blob")[0].as_py(), "i8")
-                forest = Forest(keys, counts, 2, depth)
-                logp = np.empty(len(keys), np.float32)
-                for at in range(0, len(keys), 200_000):
-                    logp[at : at + 200_000] = forest.log_p(keys[at : at + 200_000], upper.value)
-                of = np.array(asked.column("block").to_pylist())
-                for block in np.unique(of[1:]):
-                    own = np.unique(np.concatenate([unpack(asked.column("blob")[int(j)].as_py())[0] for j in np.flatnonzero(of == block)]))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(("gram", b.column("shard")[i].as_py(), int(block), pack(own, logp[np.searchsorted(keys, own)])), SENT_ROWS.types, strict=True)], schema=SENT_ROWS)
-
-    told = state.where("kind = 'shard'").select("shard", "blob").repartition(1 << bits, "shard").mapInArrow(answer, SENT)
+    upper = spark.sparkContext.broadcast(Upper([tuple(r) for r in state.where("kind = 'top'").groupBy("block", "node").agg(F.sum("n0"), F.sum("n1"), F.sum("s")).collect()]))
+
+    def answer(table: pa.Table) -> pa.Table:
+        shard, blocks = table.column("shard")[0].as_py(), np.array(table.column("block").to_pylist())
+        keys, counts = unpack(table.column("blob")[int(np.argmin(blocks))].as_py(), "i8")  # block -1
+        logp = np.empty(len(keys), np.float32)
+        for low, m in _lows(keys, depth, cut):
+            forest = Forest(keys[m], counts[m], low, depth)
+            for at in range(0, len(m), 200_000):
+                logp[m[at : at + 200_000]] = forest.log_p(keys[m[at : at + 200_000]], upper.value)
+        rows = []
+        for block in np.unique(blocks[blocks >= 0]):
+            own = np.unique(np.concatenate([unpack(table.column("blob")[int(j)].as_py())[0] for j in np.flatnonzero(blocks == block)]))
+            rows.append(("gram", shard, int(block), pack(own, logp[np.searchsorted(keys, own)])))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), SENT_ROWS.types, strict=True)], schema=SENT_ROWS)
+
+    told = state.where("kind = 'keys'").select("shard", "block", "blob").groupBy("shard").applyInArrow(answer, SENT)
     told = told.unionByName(state.where("kind = 'word'").select("kind", "shard", "block", "blob"))
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}

@@ -67,7 +67,12 @@ def test_against_brute_force(spark):
     rows = [(i, r.choice([" ", "\n"]).join(r.choice(["The", "cat", "sat", "sät", "on", "mat."]) for _ in range(r.randint(0, 12))), i % 3 > 0) for i in range(40)]
     rows += [(50, None, True), (51, "", False), (52, "zebra ÿ", False), (53, "the the", True), (53, "the the", True), (None, "cat", False)]
     df = spark.createDataFrame([(*x, 1.0) for x in rows], "doc_id long, text string, train boolean, score double").repartition(3)
-    got = op.score(df, depth=4, block_bytes=300).collect()
+    pairs = {x for t in ("The cat sat on the mat.", "s\u00e4t") for x in op.prepare(op.pa.array([t]), 4)[0] >> op.U(24)}
+    for split in (None, [], sorted(map(int, pairs))[::2]):
+        same_as_brute(rows, op.score(df, 4, 300, split).collect())
+
+
+def same_as_brute(rows, got):
     s = brute([t for _, t, k in rows if k], 4)
     c = Counter(w for _, t, k in rows if k for w in [*tokens(t), None])
     big, v = sum(c.values()), len(c)
@@ -85,7 +90,7 @@ def test_probabilities_sum_to_one():
     key, _, _, _ = op.prepare(op.pa.array(["abc abd", "b"]), 3)
     k, c = op._sum(key, np.ones(len(key), np.int64))
     f = op.Forest(k, c, 2, 3)
-    up = op.Upper(list(f.top()))
+    up = op.Upper([(1, *x) for x in f.top()])
     for ctx in (k[0] >> op.U(8), k[3] >> op.U(8), op.U(12345)):
         assert abs(np.exp(f.log_p((ctx << op.U(8)) | np.arange(256, dtype=op.U), up)).sum() - 1) < 1e-9
 
@@ -96,3 +101,26 @@ def test_no_training_and_empty(spark):
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].base_score == 0
     assert abs(got[1].score - 32 * math.log10(0.5)) < 1e-6 and got[2].n_tokens == 1
     assert op.score(df.where("false")).collect() == []
+
+
+def test_cut_pairs_give_the_same_nodes():
+    key, _, _, _ = op.prepare(op.pa.array(["abc abd", "b ab cd ab"]), 4)
+    k, c = op._sum(key, np.ones(len(key), np.int64))
+    whole = op.Forest(k, c, 2, 4)
+    want = whole.log_p(k, op.Upper([(1, *x) for x in whole.top()]))
+    cut = np.unique((k >> op.U(24)).astype(np.int64))[::2]
+    parts = [(op.Forest(k[m], c[m], low, 4), m) for low, m in op._lows(k, 4, cut)]
+    upper = op.Upper([(f.low - 1, *x) for f, _ in parts for x in f.top()])
+    assert all(len(m) for _, m in parts)
+    for f, m in parts:
+        assert np.allclose(f.log_p(k[m], upper), want[m], rtol=1e-12)
+
+
+def test_very_long_text(spark):
+    text = "A b\n c " * 450_000  # more than one step
+    df = spark.createDataFrame([(1, text, False), (2, "a b c a b c", True)], "doc_id long, text string, train boolean").repartition(2)
+    got = {r.doc_id: r for r in op.score(df).collect()}
+    n = 3 * 450_000 + 1
+    assert (got[1].n_tokens, got[1].n_known, got[1].train_tokens) == (n, n, 7)
+    assert abs(got[1].base_score - ((n - 1) * math.log10(3 / 12) + math.log10(2 / 12))) < 1e-3
+    assert 0 < got[1].code_length < 8
