@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +203,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/fieldspark/{uuid.uuid4().hex}"
 
 
+#: The folders that written() has made inside settled(), by thread.
+_SCOPE = threading.local()
+
+
 def written(df: DataFrame, spark: SparkSession, name: str = "t", codec: str = "zstd") -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}"
+    folder = shared_dir(spark)
+    if (made := getattr(_SCOPE, "made", None)) is not None:
+        made.append(folder)
+    path = f"{folder}/{name}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark find the shuffles that no frame needs any more; it deletes their files once its frames are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """The frame that make() gives, as a written table. The tables that make() wrote on the way are deleted, as nothing else refers to them."""
+    outer, made = getattr(_SCOPE, "made", None), []
+    _SCOPE.made = made
+    try:
+        df = make()
+        _SCOPE.made = outer
+        return written(df, spark, name)
+    finally:
+        _SCOPE.made = outer
+        for folder in made:
+            delete(spark, folder)
+        df = None
+        swept(spark)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, mix, slices, window_hashes, word_hashes, words, written
+from .common import U, buffers, mix, settled, slices, window_hashes, word_hashes, words, written
 from .components import components
 
 WORDS = 5
@@ -296,6 +296,10 @@ def near_duplicates(docs: DataFrame, near: int = 90, least: int = 75, most_list:
 
     by_text: also print, xxhash64 of the text, which tells rows apart that share a doc_id.
     """
+    return settled(lambda: _near_duplicates(docs, near, least, most_list, most_shingles, most_broadcast, by_text), docs.sparkSession, "near")
+
+
+def _near_duplicates(docs: DataFrame, near: int, least: int, most_list: int, most_shingles: int, most_broadcast: int, by_text: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = written(prints(docs), spark, "prints")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U, buffers, covered, inside, joined, pack, pack_rows, shared_dir, slices, unpack, unpack_rows, window_hashes, word_hashes, words
+from .common import U, buffers, covered, delete, inside, joined, pack, pack_rows, shared_dir, slices, swept, unpack, unpack_rows, window_hashes, word_hashes, words
 
 LAST = (1 << 63) - 1
 #: Bytes of a text that place it among the rows of its doc_id, and the most blocks that one doc_id is cut into.
@@ -220,8 +220,16 @@ class FingerprintIndex:
         path = f"{self.path}/compacted-{self.made}"
         self.made += 1
         self._table(self.runs, "run").groupBy("bucket").applyInArrow(_union, OUT).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
+        self.drop_runs()
         self.runs = [path]
 
+    def drop_runs(self) -> None:
+        """Deletes the runs, which no verdict needs once it is written."""
+        for path in self.runs:
+            delete(self.spark, f"{path}/kind=run")
+        self.runs = []
+        swept(self.spark)
+
     def found(self) -> DataFrame:
         """Per block, blobs of the windows that begin in an earlier block or batch."""
         df = self._table(self.hits, "hit")
@@ -325,6 +333,7 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, block_bytes
         if hi < n:
             part = part.where(F.col("doc_id") <= bounds[hi - 1])
         index.add(fingerprints(part, blocks, bits, window), keep=g < batches - 1)
+    index.drop_runs()
     extra = docs.select(*carry).schema
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
     rows = pa.schema([*RESULT_ROWS, *to_arrow_schema(extra)])
