@@ -310,3 +310,9 @@ def test_range_join_broadcasts_no_side(spark):
     p = spark.createDataFrame([(i, float(i), float(i % 3), float(i)) for i in range(50)], "id long, x double, y double, v double")
     v = S.variogram(p, 3.0, 6, lag_tolerance=1.3, angle_tolerance=0.6, along=[(1.0, 0.0), (0.0, 2.0), (3.0, 4.0)])
     assert v.count() > 0 and "BroadcastHashJoin" not in _plan(v) and "SortMergeJoin" in _plan(v)
+
+
+def test_directional_variogram_broadcasts_no_side(spark):
+    p = spark.createDataFrame([(i, float(i), float(i % 3), float(i)) for i in range(50)], "id long, x double, y double, v double")
+    v = S.variogram(p, 3.0, 6, lag_tolerance=1.3, along=S.directions(2, "anisotropic"))
+    assert v.count() > 0 and "BroadcastHashJoin" not in _plan(v)
