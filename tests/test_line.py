@@ -43,3 +43,11 @@ def test_linear_fit_of_many_rows():
     o = np.argsort(x[:, 0])
     t = (x[o[1:]] + x[o[:-1]]) / 2
     assert np.abs(f.values(x) - v).max() < 1e-6 and np.abs(f.values(t) - (v[o[1:]] + v[o[:-1]]) / 2).max() < 1e-6
+
+
+def test_slopes_between_many_centres():
+    x, v = data()
+    f = Interpolant(Model(Rbf("bh3"), 0)).fit(x, v)
+    o = np.argsort(x[:, 0])
+    t = (x[o[1:]] + x[o[:-1]]) / 2
+    assert np.abs(f.values(t[:0], t) - np.diff(v[o]) / np.diff(x[o, 0])).max() < 1e-6
