@@ -51,3 +51,11 @@ def test_slopes_between_many_centres():
     o = np.argsort(x[:, 0])
     t = (x[o[1:]] + x[o[:-1]]) / 2
     assert np.abs(f.values(t[:0], t) - np.diff(v[o]) / np.diff(x[o, 0])).max() < 1e-6
+
+
+def test_large_line_fit_saved_and_loaded(spark, tmp_path):
+    x, v = data(7000)
+    f = Interpolant(Model(Rbf("bh3"), 0)).fit(x, v)
+    f.save(spark, str(tmp_path / "f"))
+    g = Interpolant.load(spark, str(tmp_path / "f"))
+    assert (g.weights == f.weights).all() and np.abs(g.values(x) - v).max() < 1e-6
