@@ -59,3 +59,13 @@ def test_large_line_fit_saved_and_loaded(spark, tmp_path):
     f.save(spark, str(tmp_path / "f"))
     g = Interpolant.load(spark, str(tmp_path / "f"))
     assert (g.weights == f.weights).all() and np.abs(g.values(x) - v).max() < 1e-6
+
+
+def test_folds_of_many_rows(spark):
+    """An exponential prediction hangs on the nearest rows of the other folds alone."""
+    n = 70_000
+    v = np.random.default_rng(5).uniform(-999, 9999, n)
+    p = spark.createDataFrame([(i, float(i), float(v[i]), i % 10) for i in range(n)], "id long, x double, v double, fold int")
+    got = np.array(IP.cross_validate(Model(Rbf("exp", (1.0, 5.0)), -1), p).orderBy("id").select("prediction").collect())[1:-1, 0]
+    want = (v[:-2] + v[2:]) * np.sinh(0.6) / np.sinh(1.2)
+    assert np.abs(got - want).max() < 1e-6
