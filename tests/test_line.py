@@ -69,3 +69,10 @@ def test_folds_of_many_rows(spark):
     got = np.array(IP.cross_validate(Model(Rbf("exp", (1.0, 5.0)), -1), p).orderBy("id").select("prediction").collect())[1:-1, 0]
     want = (v[:-2] + v[2:]) * np.sinh(0.6) / np.sinh(1.2)
     assert np.abs(got - want).max() < 1e-6
+
+
+def test_nugget_of_many_rows():
+    x, v = data()
+    m = Model(Rbf("exp", (1.0, 5.0)), 0, 0.1)
+    f = Interpolant(m).fit(x, v)
+    assert np.abs(f.values(x) + 0.1 * f.weights[:N] - v).max() < 1e-8 and abs(f.weights[:N].sum()) < 1e-5
