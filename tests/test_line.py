@@ -76,3 +76,10 @@ def test_nugget_of_many_rows():
     m = Model(Rbf("exp", (1.0, 5.0)), 0, 0.1)
     f = Interpolant(m).fit(x, v)
     assert np.abs(f.values(x) + 0.1 * f.weights[:N] - v).max() < 1e-8 and abs(f.weights[:N].sum()) < 1e-5
+
+
+def test_bounds_of_many_rows():
+    x, v = data()
+    f = Interpolant(Model(Rbf("exp", (1.0, 5.0)), -1)).fit_inequality(x, np.where(v > 5000, v, np.nan), v - 100, v + 100, 1e-6)
+    got = f.values(x)
+    assert (np.abs(got - v) <= 100.001).all() and np.abs(got - v)[v > 5000].max() < 1e-6
