@@ -77,3 +77,17 @@ def test_predicates(spark):
     assert np.allclose(T.min_angle(one, np.array([[1.0, 0], [0, 0]]), np.array([[0.0, 1], [1, 1]])), [np.pi / 4, 0])
     assert on_arrays(Rbf("bh3"))(np.array([2.0]))[0] == -2
     assert spark.range(1).select(F.signum(T.orient2d((0.0, 0.0), (1.0, 0.0), (F.lit(0.0), F.lit(2.0)))).alias("s")).first().s == 1
+
+
+def test_more_centres_than_a_fit_takes(spark, tmp_path):
+    """Weights that are given need no fit; sums whose rounding is beyond the accuracy are exact."""
+    from fieldspark.queries import QUERIES
+
+    n = 210_000
+    spark.range(n).selectExpr("id as c_custkey", "id % 25 as c_nationkey", "cast(id % 7 as double) as c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(3).selectExpr("cast(id as int) as n_nationkey", "cast(id as int) as n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    got = {r.id: r.value for r in QUERIES["cluster_sum"](spark, str(tmp_path)).collect()}
+    i = np.arange(n)
+    for k in range(3):
+        want = -(i % 7 / 1e6 * np.hypot(k * 40 + 0.5 - i, k * 5 + 0.5 - i % 25)).sum()
+        assert abs(got[k] - want) < 2e-3
