@@ -352,3 +352,13 @@ def test_polynomial_data_need_no_kernel():
     start = time.time()
     f = IP.Interpolant(Model(Rbf("th3"), 1)).fit(x, v)
     assert not f.weights[: len(x)].any() and np.abs(f.values(x) - v).max() < 1e-9 and time.time() - start < 20
+
+
+def test_tiled_products_are_the_kernel_matrix():
+    r = np.random.default_rng(7)
+    x, y, w = r.normal(size=(2100, 3)), r.normal(size=(130, 3)), r.normal(size=2100)
+    w[::3] = 0
+    for name in KERNELS:
+        m = Model(rbf(name, A))
+        f = IP.Interpolant(m, x, x[:0], np.append(w, np.zeros(m.basis_size(3))))
+        assert np.allclose(f.values(y), IP.kernel_rows(m, y, y[:0], x, x[:0]) @ w, rtol=1e-9, atol=1e-9)
