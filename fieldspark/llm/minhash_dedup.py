@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, mix, settled, slices, window_hashes, word_hashes, words, written
+from .common import U, buffers, mix, settled, slices, trim, window_hashes, word_hashes, words, written
 from .components import components
 
 WORDS = 5
@@ -76,6 +76,7 @@ def prints(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((doc_id, 0, 0, 0, [], b"", own))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PRINT_ROWS.types, strict=True)], schema=PRINT_ROWS)
+        trim()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, PRINTS)
 
@@ -248,6 +249,9 @@ def joined(rows: DataFrame, texts: DataFrame, least: int, most_broadcast: int) -
                         if u != v:
                             up[v] = u
                             out.append((int(ids[m[x]]), int(ids[m[z]])))
+            own = flat = mark = None
+        sets = None
+        trim()
         return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=PAIR_ROWS)
 
     spark = rows.sparkSession

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U, buffers, covered, delete, inside, joined, pack, pack_rows, shared_dir, slices, swept, unpack, unpack_rows, window_hashes, word_hashes, words
+from .common import U, buffers, covered, delete, inside, joined, pack, pack_rows, shared_dir, slices, swept, trim, unpack, unpack_rows, window_hashes, word_hashes, words
 
 LAST = (1 << 63) - 1
 #: Bytes of a text that place it among the rows of its doc_id, and the most blocks that one doc_id is cut into.
@@ -150,6 +150,7 @@ def fingerprints(docs: DataFrame, blocks: Blocks, bits: int, window: int) -> Dat
                 yield from flush()
                 size = 0
         yield from flush()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
@@ -181,6 +182,8 @@ def _merge(table: pa.Table) -> pa.Table:
     m = ~seen & (b >= 0)
     if m.any():
         rows.append(("run", bucket, -1, pack(h[m], c[m])))
+    del hs, cs, bs, h, c, b, order, seen, hit, starts
+    trim()
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ROWS.types)], schema=ROWS)
 
 
@@ -283,6 +286,8 @@ def _resolve(window: int, schema: pa.Schema):
             n = np.diff(ptr)
             total = np.concatenate((np.zeros(1, np.int64), np.cumsum(gone)))
             out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total[ptr[1:]] - total[ptr[:-1]], pa.int64()), joined(data, s, e, ptr, ~gone), *(b.column(c) for c in schema.names[4:])], schema=schema))
+        del rows, pieces, hs, cs, h, c, sh, sc, order
+        trim()
         return pa.Table.from_batches(out, schema)
 
     return run
@@ -310,6 +315,7 @@ def blocks_of(docs: DataFrame, blocks: Blocks, carry: tuple[str, ...] = ()) -> D
                 yield from flush()
                 size = 0
         yield from flush()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text")).mapInArrow(run, "block int, blob binary")
 
