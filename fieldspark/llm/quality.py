@@ -9,15 +9,16 @@ the order, and the join of documents with the counts is one equality join:
 1. Each map task sends its texts' distinct n-gram hashes, sorted, with the documents that hold them, to the shard of the hash. A
    bitmap of fixed size with the model's hashes drops most of what the model doesn't have before it travels; no result changes.
 2. A shard merge-joins the requests with its values and answers with one sum for each document of the task. Requests of about
-   group_bytes of text meet in one group of shards, so a frequent word's requests stay bounded; each group gets the values once.
+   group_bytes of text (more in proportion to the shards) meet in one group of shards, so a frequent word's requests stay bounded; each
+   group gets the values once. Shards grow in number with the model.
 3. The shards' sums of a task add up to its documents' log probabilities.
 
-A language's threshold is a quantile of the perplexities of its trusted documents outside the model's sample, plus a margin in
-log space; the threshold of all languages serves one with too few. Trusted documents in the sample are scored by a model that holds them.
+A language's threshold is a quantile of the perplexities of its trusted documents outside the model's half, plus a margin in
+log space; the threshold of all languages serves one with too few. Trusted documents in the model's half are scored by a model that holds them.
 
-Bounds (parameters): the model learns from about most_bytes of trusted text, evenly hashed by doc_id, half of it at most; all other
-counts, joins and thresholds cover all rows. A null or empty text has one token, its end; it is kept, as are all documents when
-nothing is trusted. Very long texts are read whole. A null lang counts as a language of its own. Rows that share a doc_id are scored
+Every trusted document counts once: a hash of doc_id parts them into those that the model learns and those that set the thresholds.
+There is no bound on either; counts and joins cover all rows. A null or empty text has one token, its end; it is kept, as are all documents
+when nothing is trusted. Very long texts are read whole. A null lang counts as a language of its own. Rows that share a doc_id are scored
 one by one. Ties at the threshold are kept. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, mix, pack, pack_rows, settled, slices, unpack, unpack_rows, word_hashes, words, written
+from .common import U, buffers, mix, pack, pack_rows, settled, slices, swept, trim, unpack, unpack_rows, word_hashes, words, written
 
 ORDER = 2
 START, END = U(0x2545F4914F6CDD1D), U(0x5851F42D4C957F2D)
-#: The bitmap has 2**26 places (8 MB), cut into as many pieces as there are shards.
-BITMAP, SHARDS = 26, 5
+#: The bitmap has 2**26 places (8 MB), cut into as many pieces as there are shards: 2**5, more so that a shard keeps about SHARD_KEYS keys.
+BITMAP, LEAST_BITS, MOST_BITS, SHARD_KEYS = 26, 5, 14, 600_000
 GRAMS = "k int, key bigint, ctx bigint, tail bigint, n bigint"
 GRAM_ROWS = pa.schema([("k", pa.int32()), *((c, pa.int64()) for c in ("key", "ctx", "tail", "n"))])
 SENT = "grp int, shard int, part bigint, docs bigint, keys binary, refs binary"
@@ -85,17 +86,31 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
                 tail = low[np.searchsorted(low_at, at[first])] if k > 1 else np.zeros(len(u), U)
                 low, low_at = key, at
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k), pa.int32()), *(pa.array(x.astype(np.int64)) for x in (u, ctx[first], tail, n))], schema=GRAM_ROWS)
+        trim()
 
     return docs.select("text").mapInArrow(run, GRAMS).groupBy("k", "key").agg(F.first("ctx").alias("ctx"), F.first("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float] | None:
-    """(key, value) of the model of docs' texts, and the log probability of a word without any key. None without texts."""
+    """(key, value) of the model of docs' texts, a written table, and the log probability of a word without any key. None without texts."""
+    spark, unseen = docs.sparkSession, []
+
+    def make() -> DataFrame:
+        values, *unseen[:] = _train(docs, order) or (spark.createDataFrame([], "key bigint, value double"),)
+        return values
+
+    values = settled(make, spark, "model")
+    return (values, *unseen) if unseen else None
+
+
+def _train(docs: DataFrame, order: int) -> tuple[DataFrame, float] | None:
     spark = docs.sparkSession
     raw = written(counted(docs, order), spark, "grams")
     # continuation counts below the highest order; n-grams that only begin texts keep theirs
     before = raw.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("tail").alias("key")).agg(F.count(F.lit(1)).alias("m"))
-    full = written(raw.join(before, ["k", "key"], "left").select("k", "key", "ctx", "tail", F.coalesce("m", "n").alias("c")), spark, "counts")
+    lower = written(raw.where(F.col("k") < order).join(before, ["k", "key"], "left").select("k", "key", "ctx", "tail", F.coalesce("m", "n").alias("c")), spark, "counts")
+    full = raw.where(F.col("k") == order).select("k", "key", "ctx", "tail", F.col("n").alias("c")).unionByName(lower)
+    swept(spark)
     levels = {r.k: r for r in full.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("c").alias("total"), *(F.sum((F.col("c") == x).cast("long")).alias(f"n{x}") for x in (1, 2, 3, 4))).collect()}  # one row an order
     if not levels:
         return None
@@ -111,36 +126,41 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float] | None
     unseen = gamma / (levels[1].size + 1)
     rest = F.greatest(F.col("c") - F.col("off"), F.lit(0.0))
     low = full.where("k = 1").select("key", (rest / float(levels[1].total) + unseen).alias("p"))
-    values = low.select("key", (F.log("p") - float(np.log(unseen))).alias("value"))
+    values, top = low.select("key", (F.log("p") - float(np.log(unseen))).alias("value")), None
     for k in range(2, order + 1):
         rows = full.where(F.col("k") == k)
         weight = rows.groupBy("ctx").agg(F.sum("c").alias("total"), (taken / F.sum("c")).alias("gamma"))
-        joined = rows.join(weight, "ctx").join(low.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail")
-        joined = joined.withColumn("p", rest / F.col("total") + F.col("gamma") * F.col("below"))
+        weight = written(weight, spark, "weights")
+        rows = rows.join(weight, "ctx").select("key", "tail", "gamma", (rest / F.col("total")).alias("own"))
+        joined = rows.join(low.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail").withColumn("p", F.col("own") + F.col("gamma") * F.col("below"))
         if k < order:
-            joined = written(joined.select("key", "ctx", "gamma", "below", "p"), spark, "order")
-        values = values.unionByName(joined.select("key", (F.log("p") - F.log("gamma") - F.log("below")).alias("value")))
+            joined = written(joined.select("key", "gamma", "below", "p"), spark, "order")
+        mine = joined.select("key", (F.log("p") - F.log("gamma") - F.log("below")).alias("value"))
         values = values.unionByName(weight.select(F.col("ctx").alias("key"), F.log("gamma").alias("value")))
-        low = joined.select("key", "p")
-    return values.groupBy("key").agg(F.sum("value").alias("value")), float(np.log(unseen))
+        if k < order:
+            values, low = values.unionByName(mine), joined.select("key", "p")
+        else:
+            top = mine
+    values = values.groupBy("key").agg(F.sum("value").alias("value"))  # n-grams below the highest order are contexts too
+    return values if top is None else values.unionByName(top), float(np.log(unseen))
 
 
-def shards(values: DataFrame) -> DataFrame:
-    """shard, keys (sorted hashes with their values), bits (the shard's piece of the bitmap): a written table."""
+def shards(values: DataFrame, bits_of: int) -> DataFrame:
+    """shard (the first bits_of bits of a key), keys (sorted hashes with their values), bits (the shard's piece of the bitmap): a written table."""
 
     def run(table: pa.Table) -> pa.Table:
         key, value = table.column("key").to_numpy().view(U), table.column("value").to_numpy()
         order = np.argsort(key)
-        bits = np.zeros(1 << (BITMAP - SHARDS), bool)
+        bits = np.zeros(1 << (BITMAP - bits_of), bool)
         bits[(key >> U(64 - BITMAP)) & U(len(bits) - 1)] = True
         bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"shard": pa.array(table.column("shard").to_pylist()[:1], pa.int32()), "keys": pa.array([pack(key[order], value[order])], pa.binary()), "bits": pa.array([bits], pa.binary())})
 
-    shard = F.shiftrightunsigned("key", 64 - SHARDS).cast("int")
+    shard = F.shiftrightunsigned("key", 64 - bits_of).cast("int")
     return written(values.select("key", "value", shard.alias("shard")).groupBy("shard").applyInArrow(run, "shard int, keys binary, bits binary"), values.sparkSession, "values", "snappy")
 
 
-def requests(docs: DataFrame, bitmap: np.ndarray, groups: int, order: int) -> DataFrame:
+def requests(docs: DataFrame, bitmap: np.ndarray, bits_of: int, groups: int, order: int) -> DataFrame:
     """For each map task's part of the documents and each shard the keys that the bitmap has, with places of documents and counts."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2**BITMAP bits
 
@@ -157,7 +177,7 @@ def requests(docs: DataFrame, bitmap: np.ndarray, groups: int, order: int) -> Da
             at = np.flatnonzero(edge)
             n = np.diff(np.append(at, len(key))).astype(np.uint32)
             key, doc = key[at], doc[at]
-            cut = np.searchsorted(key >> U(64 - SHARDS), np.arange((1 << SHARDS) + 1, dtype=U))
+            cut = np.searchsorted(key >> U(64 - bits_of), np.arange((1 << bits_of) + 1, dtype=U))
             part, out = task << 24 | seq, []
             for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if a < b:
@@ -185,6 +205,8 @@ def requests(docs: DataFrame, bitmap: np.ndarray, groups: int, order: int) -> Da
                 keys.clear(), docs_of.clear(), meta.clear()
         if rows:
             yield flush()
+        keys.clear(), docs_of.clear(), meta.clear()
+        trim()
 
     return docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("print")).mapInArrow(run, SENT)
 
@@ -202,6 +224,8 @@ def _answer(sent: pa.Table, model: pa.Table) -> pa.Table:
         v = np.where(key[at] == asked, value[at], 0.0) if len(key) else np.zeros(len(asked))
         sums = np.bincount((place % U(n)).astype(np.int64), v[(place // U(n)).astype(np.int64)] * count, n)
         out.append((part.as_py(), False, zstandard.ZstdCompressor(level=1).compress(sums.tobytes())))
+    del key, value
+    trim()
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(SUM_ROWS.types)], schema=SUM_ROWS)
 
 
@@ -217,42 +241,44 @@ def _total(table: pa.Table) -> pa.Table:
 
 def log_probabilities(docs: DataFrame, values: DataFrame, unseen: float, order: int = ORDER, group_bytes: int = 512 << 20) -> DataFrame:
     """doc_id, lang, print (of the text), n_tokens, log10_prob for each row of docs (doc_id, lang, text)."""
+    bits_of = min(MOST_BITS, max(LEAST_BITS, (values.count() // SHARD_KEYS).bit_length()))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(size // group_bytes) + 1
-    model = shards(values)
+    groups = int(size // (group_bytes << bits_of - LEAST_BITS)) + 1  # the same bytes a task, whatever the number of shards
+    model = shards(values, bits_of)
+    swept(docs.sparkSession)
     pieces = {r.shard: r.bits for r in model.select("shard", "bits").collect()}  # 2**BITMAP bits in all
-    whole = 1 << (BITMAP - SHARDS - 3)
-    bitmap = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(pieces[s]), np.uint8) if s in pieces else np.zeros(whole, np.uint8) for s in range(1 << SHARDS)])
+    whole = 1 << (BITMAP - bits_of - 3)
+    bitmap = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(pieces[s]), np.uint8) if s in pieces else np.zeros(whole, np.uint8) for s in range(1 << bits_of)])
     told = model.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), "shard", "keys")
-    sums = requests(docs, bitmap, groups, order).groupBy("grp", "shard").cogroup(told.groupBy("grp", "shard")).applyInArrow(_answer, SUMS)
+    sums = requests(docs, bitmap, bits_of, groups, order).groupBy("grp", "shard").cogroup(told.groupBy("grp", "shard")).applyInArrow(_answer, SUMS)
     out = sums.groupBy("part").applyInArrow(_total, RESULT)
     return out.select("doc_id", "lang", "print", "n_tokens", ((F.col("log_sum") + F.col("n_tokens") * unseen) / float(np.log(10))).alias("log10_prob"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, most_bytes: int = 16 << 20, quantile: float = 0.99, margin: float = 0.1, least: int = 30, by_text: bool = False) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 0.1, least: int = 30, by_text: bool = False) -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold, rejected for each row of docs (doc_id, text, lang).
 
     trusted: doc_id of documents whose text is trusted. margin: added to the quantile of log10 perplexity. by_text: also print, xxhash64 of
     the text, which tells rows apart that share a doc_id.
     """
-    return settled(lambda: _classify(docs, trusted, most_bytes, quantile, margin, least, by_text), docs.sparkSession, "quality")
+    return settled(lambda: _classify(docs, trusted, quantile, margin, least, by_text), docs.sparkSession, "quality")
 
 
-def _classify(docs: DataFrame, trusted: DataFrame, most_bytes: int, quantile: float, margin: float, least: int, by_text: bool) -> DataFrame:
+def _classify(docs: DataFrame, trusted: DataFrame, quantile: float, margin: float, least: int, by_text: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     trusted = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     u = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     size = docs.select("doc_id", F.octet_length("text").alias("size")).join(trusted, "doc_id", "left_semi").agg(F.sum("size")).first()[0] or 0
-    rate = min(0.5, most_bytes / max(size, 1))  # so that half of the trusted documents at least set the thresholds
-    model = train(docs.where((u < rate) & F.col("text").isNotNull()).join(trusted, "doc_id", "left_semi")) if size else None
+    # one half of all trusted documents is learned, the other sets the thresholds
+    model = train(docs.where((u < 0.5) & F.col("text").isNotNull()).join(trusted, "doc_id", "left_semi")) if size else None
     if model is None:
         nothing = F.lit(None).cast("double")
         count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
         return docs.select("doc_id", "lang", count.cast("long").alias("n_tokens"), nothing.alias("log10_prob"), nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(False).alias("rejected"), *[F.xxhash64("text").alias("print")] * by_text)
     out = log_probabilities(docs, *model)
     out = written(out.withColumn("level", -F.col("log10_prob") / F.col("n_tokens")), spark, "perplexity")
-    held = out.where(u >= rate).join(trusted, "doc_id", "left_semi").where("n_tokens > 1")
+    held = out.where(u >= 0.5).join(trusted, "doc_id", "left_semi").where("n_tokens > 1")
     cut = F.percentile_approx("level", quantile, 100_000)
     every = held.agg(cut).first()[0]
     own = held.groupBy("lang").agg(F.when(F.count(F.lit(1)) >= least, cut).alias("cut"))

@@ -85,3 +85,24 @@ def test_words_with_thue_morse_order():
         assert len(set(word_hashes(data, s, e, seed=seed).tolist())) == 9
     assert len(set(word_hashes(data, s, e, lower=True).tolist())) == 8
     assert not set(word_hashes(data, s, e).tolist()) & set(word_hashes(data, s, e, seed=1).tolist())
+
+
+def test_all_trusted_text_is_used(spark, monkeypatch):
+    """80 MB of trusted text: one half of the documents is learned, whatever their size."""
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda docs, *a: learned.extend(r.doc_id for r in docs.select("doc_id").collect()))
+    docs = spark.range(80).select(quality.F.col("id").alias("doc_id"), quality.F.lit("en").alias("lang"), quality.F.expr("repeat('ab ', 350000)").alias("text"))
+    quality._classify(docs, docs, 0.99, 0.1, 30, False)
+    u = quality.F.pmod(quality.F.xxhash64(quality.F.col("id"), quality.F.lit(3)), quality.F.lit(1 << 30)) / float(1 << 30)
+    assert sorted(learned) == [r.id for r in spark.range(80).where(u < 0.5).orderBy("id").collect()] and 25 < len(learned) < 55
+
+
+def test_shards_grow_with_the_model(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SHARD_KEYS", 1)
+    texts = ["a b c a b", "b c a", "c c a b d e f g h i j k l m n o p q r s t u v w x y z"]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model[0].count() > 32
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    want = brute(texts, 2)
+    for r in quality.log_probabilities(docs, *model).collect():
+        assert abs(r.log10_prob - want(texts[r.doc_id])) < 1e-9 * abs(want(texts[r.doc_id]))
