@@ -106,3 +106,38 @@ def test_shards_grow_with_the_model(spark, monkeypatch):
     want = brute(texts, 2)
     for r in quality.log_probabilities(docs, *model).collect():
         assert abs(r.log10_prob - want(texts[r.doc_id])) < 1e-9 * abs(want(texts[r.doc_id]))
+
+
+def test_highest_order_travels_in_blocks(spark):
+    """A pair of words takes less than 16 bytes, not a row of 36, and each is in one shard."""
+    texts = [" ".join(str(k * k % p) for k in range(3000)) for p in (1009, 2003, 3001)]
+    want = Counter(g for t in texts for w in [["<s>", *t.split(), "</s>"]] for g in zip(w, w[1:]))
+    rows = quality.blocks(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), 2).collect()
+    shards = [quality.grams(quality.pa.scalar(bytes(r.grams))) for r in rows]
+    assert len({r.shard for r in rows}) == len(rows) > 16
+    keys = quality.np.concatenate([quality.prefix(ctx, word) for ctx, word, _, _ in shards])
+    assert len(set(keys.tolist())) == len(keys) == len(want)
+    assert Counter(quality.np.concatenate([n for *_, n in shards]).tolist()) == Counter(want.values())
+    assert sum(len(r.grams) for r in rows) < 16 * len(want)
+
+
+def test_rounds_take_each_document_once(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ROUND_BYTES", 1)
+    seen, requests = [], quality.requests
+    monkeypatch.setattr(quality, "requests", lambda docs, *a: (seen.append(docs.count()), requests(docs, *a))[1])
+    texts = ["a b c a b", "b c a", "c c a b d"]
+    want = brute(texts, 2)
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [*texts * 4, None, "", "x"]
+    docs = spark.createDataFrame([(k // 2 or None, "en", t) for k, t in enumerate(asked)], "doc_id long, lang string, text string")
+    got = quality.log_probabilities(docs, *model).collect()
+    assert len(seen) == quality.MOST_ROUNDS and sum(seen) == len(asked) and max(seen) < len(asked)
+    assert all(abs(x - y) < 1e-9 for x, y in zip(sorted(r.log10_prob for r in got), sorted(map(want, asked)), strict=True))
+
+
+def test_untrusted_texts_stay_out_of_the_join(spark):
+    docs = spark.range(20_000).select(quality.F.col("id").alias("doc_id"), quality.F.lit("a").alias("text"))
+    trusted = docs.where("doc_id % 100 = 0").select("doc_id")
+    got = {r.doc_id for r in quality.sifted(docs, trusted).collect()}
+    assert got >= set(range(0, 20_000, 100)) and len(got) < 210
+    assert quality.sifted(docs, trusted.where("false")).collect() == []
